@@ -19,6 +19,8 @@ BLOCK = 1 << 18
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All ASCII but letters and digits: words split at punctuation too.
+IS_BREAK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -56,13 +58,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offs: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte and text number of each word."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    space = IS_SPACE[data]
+    space = between[data]
     first = np.zeros(n + 1, bool)
     first[offs] = True
     begin = ~space
