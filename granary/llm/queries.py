@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontam, langid, lmscore, neardup, packing, quality, tokencount
+from granary.llm import decontam, langid, lmscore, neardup, packing, quality, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles, _ = warc.write(_table(spark, sf_dir, "pages"))
+    return warc.read(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
         op5_quality_rules,
         op7_lm_scoring,
         op8_minhash_near_dedup,
+        op9_warc_bundles,
         op10_token_counts,
     )}
 SQL: dict[str, str] = {}
