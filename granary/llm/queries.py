@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontam, langid, licenses, lmscore, neardup, packing, quality, tokencount, warc
+from granary.llm import decontam, langid, licenses, linededup, lmscore, neardup, packing, quality, tokencount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.summary(_table(spark, sf_dir, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = _table(spark, sf_dir, "labels").where("quality = 1")
     return lmscore.score(_table(spark, sf_dir, "documents"), good)
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
         op3_benchmark_decontamination,
         op4_license_scan,
         op5_quality_rules,
+        op6_line_dedup,
         op7_lm_scoring,
         op8_minhash_near_dedup,
         op9_warc_bundles,
