@@ -1,0 +1,96 @@
+"""The ingest run: files to extracted documents, chunks, kept chunks, lines, vectors and postings.
+
+Each stage's table is overwritten below `base`, so nothing of an earlier run stays;
+a stage reads the best table that there is, as its predecessor wrote it.
+"""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.functions import text as T
+from granary.operators import chunking, dedup, lexical, paraphrase, vectors
+from granary.sources import files
+from granary.sources.config import Ingest
+
+STAGES = ("extracted", "normalized", "paraphrased", "deduped", "lines", "vectors")
+
+
+def normalize(docs: DataFrame, size: int = 900, overlap: int = 120) -> DataFrame:
+    """(doc_path, chunk_idx, chunk_path, text)."""
+    clean = docs.select("doc_path", T.normalize_text(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = chunking.chunk(clean, size, overlap)
+    return rows.select("doc_path", "chunk_idx", chunking.chunk_path(F.col("doc_path"), F.col("chunk_idx"), F.col("n_chunks")).alias("chunk_path"), F.col("chunk").alias("text"))
+
+
+def kept(chunks: DataFrame, threshold: float = 0.90, k: int = 5) -> DataFrame:
+    """The chunks that no earlier kept chunk, in order of path and number, is like; their text as it was."""
+    order = F.struct("doc_path", "chunk_idx")
+    verdict = dedup.deduplicate(chunks.withColumn("_order", order), threshold, k, key="_order")
+    good = verdict.where("kept").select(F.col("id").alias("_id"))
+    return chunks.join(good, order == F.col("_id"), "left_semi")
+
+
+def embed_lines(chunks: DataFrame, embedder: Callable | None = None) -> DataFrame:
+    """(line_id, chunk_path, line_no, text, embedding) of each line that is not blank."""
+    rows = chunking.lines(chunks, "chunk_path").select(chunking.line_id(F.col("chunk_path"), F.col("line_no")).alias("line_id"), "chunk_path", "line_no", F.col("line").alias("text"))
+    return vectors.embed(rows, embedder) if embedder else vectors.normalized(rows.withColumn("embedding", vectors.hashed_counts(F.col("text"))))
+
+
+def best(spark: SparkSession, base: str, before: str) -> DataFrame:
+    """The latest table of the stages before one that is there and has rows."""
+    for name in reversed(STAGES[: STAGES.index(before)]):
+        try:
+            found = spark.read.parquet(f"{base}/{name}")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            continue
+        if not found.isEmpty():
+            return found
+    raise FileNotFoundError(f"no table below {base} that stage {before} could read")
+
+
+def run(spark: SparkSession, roots: list[str], base: str, config: Ingest = Ingest(), only: str | None = None, style: str = "", client: Callable | None = None, embedder: Callable | None = None) -> dict:  # noqa: B008
+    """Run all stages, or one, and return its counts."""
+    began, stats = time.time(), {}
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    wanted = [s for s in STAGES if only in (None, s)]
+    if "extracted" in wanted:
+        found = put("extracted", files.collect(spark, roots, max_mb=config.max_mb, ocr_images=config.ocr_images))
+        stats |= files.stats(found).first().asDict()
+    if "normalized" in wanted:
+        rows = put("normalized", normalize(best(spark, base, "normalized").where("status = 'ok'"), config.chunk_size, config.chunk_overlap))
+        stats |= rows.agg(F.count_distinct("doc_path").alias("docs"), F.count("*").alias("total_chunks")).first().asDict()
+    if "paraphrased" in wanted and (config.enable_paraphrase or only == "paraphrased"):
+        rows = best(spark, base, "paraphrased")
+        try:
+            cache = spark.read.parquet(f"{base}/paraphrase_cache")
+        except Exception:
+            cache = spark.createDataFrame([], "cache_key string, output_text string")
+        done = paraphrase.paraphrase(rows.withColumn("text", T.light_clean("text")), cache, style, client=client)
+        put("paraphrased", done.withColumn("text", F.col("paraphrased")).drop("paraphrased"))
+        paraphrase.cache_rows(spark.read.parquet(f"{base}/paraphrased").withColumn("paraphrased", F.col("text"))).write.mode("append").parquet(f"{base}/paraphrase_cache")
+    if "deduped" in wanted:
+        rows = best(spark, base, "deduped")
+        good = put("deduped", kept(rows.select("doc_path", "chunk_idx", "chunk_path", "text"), config.dedup_threshold, config.shingle))
+        stats |= {"kept": good.count()}
+        stats["dropped"] = rows.count() - stats["kept"]
+    if "lines" in wanted:
+        put("lines", chunking.lines(best(spark, base, "lines"), "chunk_path"))
+    if "vectors" in wanted:
+        source = spark.read.parquet(f"{base}/deduped")
+        put("vectors", embed_lines(source, embedder))
+        index = lexical.build(source.withColumnsRenamed({"chunk_path": "id"}), "id", ["text"], stem=True)
+        put("postings", index.postings)
+        put("lengths", index.lengths)
+    stats["elapsed_seconds"] = round(time.time() - began, 3)
+    return stats
