@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontam, langid, licenses, linededup, lmscore, neardup, packing, quality, tokencount, warc
+from granary.llm.oracles import SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
         op9_warc_bundles,
         op10_token_counts,
     )}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
