@@ -1,6 +1,7 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-Blocks of a file are its lines, runs of HEADER_LINES lines, and the whole text. A
+Blocks of a file are its lines, runs of as many lines as RUNS says (one begins at
+every half of its length), and the whole text. A
 block's vector has tf * idf for each of its terms; idf comes from the templates, and
 terms that no template has get the idf of a term never seen. The product with the
 templates is a join on terms. A file's licence is that of the best block whose
@@ -32,7 +33,7 @@ from granary.llm.storage import Scratch
 
 LEAST = 0.8
 WHOLE = 0.9
-HEADER_LINES = 12
+RUNS = (4, 8, 16)
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 
@@ -92,9 +93,17 @@ def anchors(units: list[dict[str, float]], least: float) -> list[str]:
 
 def _blocks(text: Column) -> Column:
     """(block, text): 0 the whole text, then lines, then runs of lines."""
-    lines = F.split(text, "\n")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(lines) - HEADER_LINES // 2), F.lit(HEADER_LINES // 2)), lambda i: F.array_join(F.slice(lines, i, HEADER_LINES), "\n"))
-    return F.concat(F.array(text), lines, F.when((F.size(lines) > 1), runs).otherwise(F.array().cast("array<string>")))
+
+
+    def made(lines: Column) -> Column:
+        def runs(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(lines) - n // 2), F.lit(n // 2))
+            # a run shorter than half a length is one of the shorter runs
+            return F.when(F.size(lines) > n // 2, F.transform(starts, lambda i: F.array_join(F.slice(lines, i, n), "\n"))).otherwise(F.array().cast("array<string>"))
+
+        return F.concat(F.array(text), lines, *[runs(n) for n in RUNS])
+
+    return F.transform(F.array(F.split(text, "\n")), made)[0]  # the split is done once
 
 
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, whole: float = WHOLE, path: str = "path", text: str = "text", keep: list[str] = []) -> DataFrame:  # noqa: B006
