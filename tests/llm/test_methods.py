@@ -1,0 +1,345 @@
+import base64
+import hashlib
+import io
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
+from granary.llm import decontam, langid, licenses, lmscore, packing, quality, tokencount, tokens, warc
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_path())
+    t.encode_special_tokens = True
+    return t
+
+
+# ---- language
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    got = langid.identify(docs, langid.profiles(docs.where(~held)), [F.col("lang"), held.alias("h")]).where("h").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.99 * len(got) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_edges(spark, documents):
+    learned = langid.profiles(spark.createDataFrame([("the and of", "en"), ("der und das", "de"), (None, "fr"), ("x", None)], "text string, lang string"))
+    assert [n for n, _ in learned] == ["de", "en"]
+    rows = langid.identify(documents([(1, None), (2, ""), (3, "12 !?"), (4, "the of the"), (5, "𝒳" * 3), (6, "und " * 300_000)]), learned, [F.col("doc_id")]).collect()
+    assert {r.doc_id: r.lang_pred for r in rows} == {1: "und", 2: "und", 3: "und", 4: "en", 5: "de", 6: "de"}
+    assert [r.lang_pred for r in langid.identify(documents([(1, "a")]), [], [F.col("doc_id")]).collect()] == ["und"]
+    assert langid.identify(documents([]), learned, [F.col("doc_id")]).count() == 0
+
+
+def test_grams_against_brute_force():
+    for text in ["the cat, the hat", "a", "x--y é", ""]:
+        want: Counter = Counter()
+        for w in re.findall(r"[^\W\d_]+", text):
+            padded = f" {w} "
+            want.update(g for n in range(1, 5) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]).strip() and " " not in g[1:-1] and g != " ")
+        keys, counts = langid.grams(pa.array([text]))[0]
+        assert sorted(counts.tolist()) == sorted(want.values()) and len(keys) == len(want)
+
+
+def test_long_text_in_blocks(monkeypatch):
+    text = "the quick brown fox jumps " * 50
+    whole = langid.grams(pa.array([text]))[0]
+    monkeypatch.setattr(langid, "BLOCK", 100)
+    parts = langid.grams(pa.array([text]))[0]
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+# ---- packing and token counts
+
+
+def test_ids_are_those_of_the_tokenizer(spark, tokenizer):
+    encoder, size = tokens.load(tokens.default_path())
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    for t in [*texts[:300], "", "<|endoftext|> é \U0001f600 \n\n  x", "'s I'll 123"]:
+        ids = tokens.encode(encoder, t)
+        assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        assert size[ids].sum() == len(t.encode())
+
+
+@pytest.mark.parametrize("n, parts", [(1, [(0, 1)]), (2048, [(0, 2048)]), (2049, [(0, 1), (1, 2048)]), (5000, [(0, 904), (904, 2048), (2952, 2048)])])
+def test_cut(n, parts):
+    assert packing.cut(n, 2048) == parts
+
+
+def test_plan_is_best_fit_decreasing():
+    rng = random.Random(7)
+    for _ in range(60):
+        cap = rng.choice([7, 16, 100])
+        lengths = sorted((rng.randint(1, cap) for _ in range(rng.randint(0, 80))), reverse=True)
+        gaps: list[int] = []
+        for n in lengths:
+            fit = [g for g in gaps if g >= n]
+            if fit:
+                gaps.remove(min(fit))
+                gaps.append(min(fit) - n)
+            else:
+                gaps.append(cap - n)
+        places = packing.plan(dict(Counter(lengths)), cap)
+        used: dict[int, list] = {}
+        for n, count in Counter(lengths).items():
+            first, base, off = places[n]
+            for r in range(count):
+                i = int(np.searchsorted(first, r, "right")) - 1
+                used.setdefault(int(base[i] + r - first[i]), []).append((int(off[i]), n))
+        assert len(used) == len(gaps)
+        for rows in used.values():
+            rows.sort()
+            assert [o for o, _ in rows] == [sum(x[1] for x in rows[:i]) for i in range(len(rows))] and sum(n for _, n in rows) <= cap
+
+
+def test_pack_round_trip(documents, prose, tokenizer):
+    texts = [(i, prose(i, 5 + 7 * i)) for i in range(40)] + [(50, prose(1, 3000)), (51, None), (52, ""), (0, prose(0, 5)), (None, "x")]
+    rows = packing.pack(documents(texts), capacity=256).collect()
+    whole = {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for i, t in texts}
+    for r in rows:
+        part = whole[r.doc_id][r.start : r.start + r.length]
+        assert zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32 and r.length == len(part)
+    assert sum(r.length for r in rows) == sum(map(len, whole.values())) + len(whole[0])
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in by.values():
+        x.sort()
+        assert all(o == sum(n for _, n in x[:i]) for i, (o, _) in enumerate(x)) and sum(n for _, n in x) <= 256
+    assert packing.pack(documents([])).count() == 0
+    docs = documents([t for t in texts if t[0] not in (0, None)])
+    made = packing.sequences(docs, packing.pack(docs, 256), 256).collect()
+    assert sorted(x for r in made for x in r.ids) == sorted(x for i, t in texts if i not in (0, None) for x in whole[i])
+
+
+def test_token_counts_against_offsets(documents, tokenizer):
+    rng = random.Random(1)
+    texts = [(i, "".join(rng.choices("ab é\U0001f600\n\n'", k=200))) for i in range(20)] + [(30, None), (31, ""), (32, "\n"), (33, "x\n\n\ny")]
+    got = {(r.doc_id, r.section): (r.n_tokens, r.n_chars) for r in tokencount.token_counts(documents(texts)).collect()}
+    want: dict = {}
+    for i, t in texts:
+        t = t or ""
+        lines = t.splitlines(keepends=True) if "\n" in t else [t]
+        encoder, size = tokens.load(tokens.default_path())
+        raw, at = t.encode(), 0
+        owner = [k for k, x in enumerate(lines) for _ in x.encode()]
+        leads = [(b & 0xC0) != 0x80 for b in raw]
+        for k, x in enumerate(lines):
+            want[i, k] = [0, len(x)]
+        for n in size[tokens.encode(encoder, t)]:
+            share: Counter = Counter({owner[at]: 0})
+            for b in range(at, at + n):
+                share[owner[b]] += leads[b]
+            want[i, max(share, key=lambda k: (share[k], -k))][0] += 1
+            at += n
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
+def test_token_counts_of_fields(spark, tokenizer):
+    rows = spark.createDataFrame([(1, "user", "a b"), (2, None, "c")], "doc_id long, role string, text string")
+    got = {(r.doc_id, r.section): (r.n_tokens, r.n_chars) for r in tokencount.token_counts(rows, ["role", "text"]).collect()}
+    assert {k: v[1] for k, v in got.items()} == {(1, 0): 5, (1, 1): 3, (2, 0): 1, (2, 1): 1}
+    assert sum(v[0] for (d, _), v in got.items() if d == 1) == len(tokenizer.encode("user\na b", add_special_tokens=False).ids)
+
+
+# ---- decontamination
+
+
+def test_decontamination_against_brute_force(spark, documents, prose):
+    rng = random.Random(3)
+    items = [(i, prose(1000 + i, rng.randint(5, 40))) for i in range(15)] + [(20, "too short"), (21, None), (22, prose(1000, 12) + " " + prose(5, 4)), (None, prose(77, 20))]
+    docs = []
+    for i in range(40):
+        w = prose(i, rng.randint(1, 80)).split()
+        part = items[i % 15][1].split()
+        for _ in range(rng.randint(0, 3)):
+            part[rng.randrange(len(part))] = "zzz"
+        if i % 4:
+            w[len(w) // 2 : len(w) // 2] = part[: len(part) - rng.randint(0, 2)]
+        docs.append((i, " ".join(w).upper() if i % 5 == 0 else ", ".join(w)))
+    docs += [(50, None), (51, ""), (52, prose(77, 20))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.find(documents(docs), bench).collect()}
+
+    def bag(w):
+        return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+
+    want = {}
+    for d, t in docs:
+        w = re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+        for i, x in items:
+            v = re.findall("[0-9a-z\x80-\U0010ffff]+", (x or "").lower())
+            if len(v) < 5 or len(w) < 5:
+                continue
+            n = min(len(v), len(w))
+            best = max(sum((bag(w[s : s + n]) & bag(v)).values()) / sum((bag(w[s : s + n]) | bag(v)).values()) for s in range(len(w) - n + 1))
+            if best >= 0.8:
+                want[d, i] = best
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    clean = {r.doc_id for r in decontam.keep_clean(documents(docs), bench).collect()}
+    assert clean == {d for d, _ in docs} - {d for d, _ in want}
+    assert decontam.find(documents(docs), bench.limit(0)).count() == 0 and decontam.find(documents([]), bench).count() == 0
+
+
+def test_benchmark_in_blocks(spark, documents, prose, monkeypatch):
+    bench = spark.createDataFrame([(i, prose(i, 20)) for i in range(9)], "item_id long, text string")
+    docs = documents([(i, prose(i, 20)) for i in range(9)])
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
+    assert {(r.doc_id, r.item_id) for r in decontam.find(docs, bench).collect()} == {(i, i) for i in range(9)}
+    assert decontam.keep_clean(docs, bench).count() == 0
+
+
+def test_index_finds_all_within_the_radius():
+    rng = np.random.default_rng(5)
+    index = decontam.Index([" ".join(f"w{rng.integers(1000)}" for _ in range(20)) for _ in range(50)])
+    for item in range(50):
+        for d in (0, 10, decontam.RADIUS):
+            bits = np.unpackbits(index.prints[item], bitorder="little")
+            bits[rng.choice(64, d, replace=False)] ^= 1
+            assert (0, item) in index.candidates(np.packbits(bits, bitorder="little")[None], 20)
+
+
+# ---- licences
+
+
+def test_licences(spark):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [("a/LICENSE", mit), ("a/b/x.py", "import os"), ("a/b/c/LICENSE.txt", f"{apache}\n"), ("a/b/c/d.py", ""), ("z.py", None), (None, "q"), (None, mit), ("a/b/c/e/f/g.c", "x"), ("q/own.py", f"# {apache.upper()}\ncode here\n" * 2), ("q/mit.txt", "mit"), ("a/LICENSE", mit)]
+    files = spark.createDataFrame([(i, p, t, 0.5) for i, (p, t) in enumerate(rows)], "id int, path string, text string, score double")
+    got = {r.id: (r.license, r.method, r.licence_path) for r in licenses.scan(files, keep=["id"]).collect()}
+    assert got == {0: ("MIT", "own", None), 1: ("MIT", "inherited", "a/LICENSE"), 2: ("Apache-2.0", "own", None), 3: ("Apache-2.0", "inherited", "a/b/c/LICENSE.txt"), 4: ("none", "none", None), 5: ("none", "none", None), 6: ("MIT", "own", None), 7: ("Apache-2.0", "inherited", "a/b/c/LICENSE.txt"), 8: ("Apache-2.0", "own", None), 9: ("none", "none", None), 10: ("MIT", "own", None)}
+    assert licenses.scan(files.limit(0)).count() == 0
+
+
+def test_headers_over_several_lines(spark):
+    header = licenses.TEMPLATES[1][1].replace(", ", ",\n# ").replace(". ", ".\n# ")
+    files = spark.createDataFrame([("x.py", "#!/usr/bin/python\n" + header + "\n" + "code = 1\n" * 200)], "path string, text string")
+    assert licenses.scan(files).first().license == "Apache-2.0"
+
+
+def test_anchors_lose_nothing():
+    _, _, units = licenses.vectors(licenses.TEMPLATES)
+    found = licenses.anchors(units, licenses.LEAST)
+    for v in units:
+        assert sum(x * x for t, x in v.items() if not any(a in t for a in found)) < licenses.LEAST**2
+
+
+# ---- quality
+
+
+def test_counts_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        t = "".join(rng.choices("aB é#|\n\t ", k=rng.randint(0, 120)))
+        w = re.findall("[^\x20\x09-\x0d]+", t)
+        grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        again = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        lines = [x for x in t.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        got = {k: int(v[0]) for k, v in quality.count(pa.record_batch([pa.array([t])], names=["t"]), 0).items()}
+        assert got == {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(t.count(c) for c in quality.SYMBOLS), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(again), "n_lines": len(lines), "n_upper": t.count("B")}
+
+
+def test_quality_keeps_and_rejects(documents, spark, prose):
+    rows = [(i, prose(i, 120)) for i in range(150)] + [(200, prose(1, 20)), (201, " | ".join(prose(3, 90).split())), (202, "ab cd ef " * 60), (203, None), (204, prose(7, 100).upper()), (205, "")]
+    docs = documents(rows)
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality(docs).collect()}
+    assert all(got[i] == (False, True) for i in range(150))
+    assert [got[i] for i in range(200, 206)] == [(True, False), (False, False), (True, False), (True, False), (False, False), (True, False)]
+    good = quality.keep_good(docs)
+    assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == set(range(150))
+    assert quality.quality(documents([])).count() == 0 and quality.keep_good(documents([(1, "x")])).count() == 0
+    odd = spark.createDataFrame([(None, prose(1, 80), None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert quality.quality(odd.unionByName(odd)).where("kept").count() == 2
+
+
+def test_sketches_merge(spark):
+    rows = spark.createDataFrame([("en", "s", *([i] * 5)) for i in range(1000)], ["lang", "source", *quality.MEASURES])
+    whole = quality.fences(quality.sketch(rows), [])
+    parts = quality.sketch(rows.where("symbols < 300")).unionByName(quality.sketch(rows.where("symbols >= 300")))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, quality.fences(parts, []).collect()))
+    high = {r.measure: r.high for r in whole.collect()}[0]
+    assert abs(high - (750 + 3 * 500)) <= 3 * 16
+
+
+# ---- language models
+
+
+def test_losses_against_plain_counting(spark, documents, prose):
+    rows = [(i, prose(i % 3, 30) + f" w{i}") for i in range(12)] + [(20, None), (21, ""), (22, "Solo"), (0, prose(5, 9))]
+    docs = documents(rows)
+    targets = spark.createDataFrame([(0,), (3,), (3,), (None,), (99,)], "doc_id long")
+    got = sorted(lmscore.score(docs, targets).collect(), key=lambda r: (r.doc_id, r.n_tokens))
+    good = {0, 3}
+    bags = [(i, (t or "").lower().split()) for i, t in rows]
+    vocab = len({w for _, b in bags for w in b})
+
+    def model(side, without):
+        uni, con, bi = Counter(), Counter(), Counter()
+        for n, (i, b) in enumerate(bags):
+            if (i in good) == (side == 0) and n != without:
+                uni.update(b)
+                con.update(["<s>", *b[:-1]][: len(b)])
+                bi.update(zip(["<s>", *b], b))
+        return uni, con, bi
+
+    want = []
+    for n, (i, b) in enumerate(bags):
+        losses = []
+        for side in (0, 1):
+            uni, con, bi = model(side, n)
+            total = sum(uni.values()) + vocab + 1
+            losses.append(np.mean([-np.log((bi[p, w] + lmscore.MASS * (uni[w] + 1) / total) / (con[p] + lmscore.MASS)) for p, w in zip(["<s>", *b], b)]) if b else None)
+        want.append((i, len(b), *losses))
+    for r, w in zip(got, sorted(want, key=lambda x: x[:2])):
+        assert (r.doc_id, r.n_tokens) == w[:2]
+        assert (r.loss_target is None) == (w[2] is None)
+        if w[2] is not None:
+            assert np.allclose([r.loss_target, r.loss_background, r.score], [w[2], w[3], w[2] - w[3]])
+    assert lmscore.score(documents([]), targets).count() == 0
+    assert lmscore.score(docs, targets.limit(0)).count() == len(rows)
+
+
+# ---- archives
+
+
+def test_archives(spark):
+    html = ["<p>a</p>", "<p>b</p>", "<p>a</p>", "", None, "é" * 90_000, "<p>a</p>"]
+    rows = [(i, f"http://x/{i} \n", h) for i, h in enumerate(html)] + [(6, None, "<p>a</p>"), (None, None, "<p>a</p>")]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, payload int")
+    bundles, index = warc.write(pages, frame_bytes=600, bundle_bytes=4000)
+    got = sorted((r.page_id if r.page_id is not None else -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(bundles).collect())
+    digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    last = {"<p>a</p>": 6, "<p>b</p>": 1, "": 4, html[5]: 5}
+    want = sorted((i if i is not None else -1, len((h or "").encode()), digest(h), "response" if i == last[h or ""] else "revisit", None if i == last[h or ""] else last[h or ""]) for i, _, h in rows)
+    assert [x[:4] for x in got] == [x[:4] for x in want] and sorted(map(str, got)) == sorted(map(str, want))
+    files = {r.bundle: bytes(r.content) for r in bundles.collect()}
+    for r in index.collect():
+        head, _ = warc.read_record(files[r.bundle], r.frame, r.offset)
+        assert head["WARC-Record-ID"] == r.record_id
+    for content in files.values():
+        full = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True).read()
+        at = 0
+        while at < len(full):
+            _, _, at = warc.parse(full, at)
+        assert sum(warc.seek_table(content)[:, 2]) == len(full)
+    assert len(files) > 1
+    big, _ = warc.write(pages, least=100)
+    assert warc.read(big).where("record_type = 'revisit'").count() == 0
+    none, none_index = warc.write(pages.limit(0))
+    assert none.count() == 0 and none_index.count() == 0 and warc.read(none).count() == 0
+    with pytest.raises(ValueError):
+        warc.seek_table(b"x" * 20)
