@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import quality
+from granary.llm import licenses, quality
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,4 +60,28 @@ b AS (SELECT page_id, payload_bytes, html, array_to_string(list_transform(range(
 m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM b)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM m"""
 
-SQL = {"op5_quality_rules": _quality(), "op8_minhash_near_dedup": NEAR, "op9_warc_bundles": WARC}
+
+def _licences() -> str:
+    """Every block against every template; no anchors."""
+    idf, unseen, units = licenses.vectors(licenses.TEMPLATES)
+    terms = ", ".join(f"('{t}', {x!r})" for t, x in sorted(idf.items()))
+    weights = ", ".join(f"({i}, '{t}', {x!r})" for i, v in enumerate(units) for t, x in sorted(v.items()))
+    names = ", ".join(f"({i}, '{n}')" for i, (n, _) in enumerate(licenses.TEMPLATES))
+    runs = " || ".join(f"CASE WHEN len(l) > {n // 2} THEN list_transform(range(1, greatest(1, len(l) - {n // 2}) + 1, {n // 2}), lambda i: array_to_string(l[i : i + {n - 1}], chr(10))) ELSE [] END" for n in licenses.RUNS)
+    return f"""
+WITH idf AS (SELECT * FROM (VALUES {terms}) v(term, idf)), wt AS (SELECT * FROM (VALUES {weights}) v(t, term, w)), names AS (SELECT * FROM (VALUES {names}) v(t, name)),
+d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, concat_ws('/', source, lang) AS dir, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+p AS (SELECT doc_id, [text] || l || {runs} AS parts FROM d),
+b AS (SELECT doc_id, unnest(range(0, len(parts))) AS block, unnest(parts) AS part FROM p),
+k AS (SELECT doc_id, block, term, count(*) AS tf FROM (SELECT doc_id, block, unnest(regexp_extract_all(lower(part), '{licenses.TERM}')) AS term FROM b) GROUP BY ALL),
+x AS (SELECT doc_id, block, k.term, tf * coalesce(idf, {unseen!r})::DOUBLE AS x FROM k LEFT JOIN idf USING (term)),
+n AS (SELECT doc_id, block, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
+c AS (SELECT doc_id, block, t, round(sum(x * w::DOUBLE) / any_value(norm), 6) AS score FROM x JOIN wt USING (term) JOIN n USING (doc_id, block) GROUP BY doc_id, block, t),
+o AS (SELECT doc_id, name AS own, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, t, block) AS r FROM c WHERE score >= {licenses.LEAST}) JOIN names USING (t) WHERE r = 1),
+f AS (SELECT d.doc_id, d.path, d.dir, own, o.score, (SELECT max(score) FROM c WHERE c.doc_id = d.doc_id AND block = 0) AS whole FROM d LEFT JOIN o USING (doc_id)),
+files AS (SELECT dir, path, own, score FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) AS r FROM f WHERE own IS NOT NULL AND whole >= {licenses.WHOLE}) WHERE r = 1)
+SELECT f.doc_id, f.path, coalesce(f.own, s.own, 'none') AS license, CASE WHEN f.own IS NOT NULL THEN 'own' WHEN s.own IS NOT NULL THEN 'inherited' ELSE 'none' END AS method,
+       CASE WHEN f.own IS NOT NULL THEN f.score ELSE coalesce(s.score, 0.0)::DOUBLE END AS score, CASE WHEN f.own IS NULL THEN s.path END AS licence_path FROM f LEFT JOIN files s USING (dir)"""
+
+
+SQL = {"op4_license_scan": _licences(), "op5_quality_rules": _quality(), "op8_minhash_near_dedup": NEAR, "op9_warc_bundles": WARC}
