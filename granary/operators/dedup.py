@@ -66,10 +66,7 @@ def first_independent(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 def _settled(df: DataFrame) -> DataFrame:
     """Cut the lineage through reliable storage where there is a folder for it, else keep the plan small by caching."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def deduplicate(docs: DataFrame, threshold: float = 0.90, k: int = 5, key: str = "doc_id", text: str = "text", short_exact: bool = False, native: bool = False) -> DataFrame:
