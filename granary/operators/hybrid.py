@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +67,17 @@ def snippets(hits: DataFrame, lines: DataFrame) -> DataFrame:
     """hits (id) with the line of that id, or a note that there is none."""
     out = hits.join(lines.select(F.col("line_id").alias("_id"), F.col("line").alias("_line")), F.col("id") == F.col("_id"), "left")
     return out.select(*hits.columns, F.coalesce("_line", F.lit("(text not found)")).alias("snippet"))
+
+
+def rerank(hits: DataFrame, factory: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], top_k: int = 6) -> DataFrame:
+    """hits (qid, id, query, text, ...) in the order of a model's scores of (query, text); the model is built once in each worker."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = factory()
+        for part in batches:
+            yield part.assign(model_score=[float(x) for x in model(list(zip(part["query"], part["text"])))])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema.fields)
+    scored = hits.mapInPandas(run, f"{kinds}, model_score double")
+    order = Window.partitionBy("qid").orderBy(F.desc("model_score"), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

@@ -124,6 +124,12 @@ def test_merge_and_rank(spark):
     assert [(r.id, r.score) for r in got] == [("lex-a", 0.0), ("vec-a", 0.0)]
 
 
+def test_rerank(spark):
+    hits = spark.createDataFrame([(0, "a", "q", "x", 1), (0, "b", "q", "xxx", 2), (0, "c", "q", "xx", 3)], "qid int, id string, query string, text string, rank int")
+    got = hybrid.rerank(hits, lambda: lambda pairs: [len(t) for _, t in pairs], 2).orderBy("rank").collect()
+    assert [r.id for r in got] == ["b", "c"]
+
+
 def test_resolve_notes_a_missing_document(spark):
     hits = spark.createDataFrame([(0, 1), (0, 9)], "qid int, id int")
     docs = spark.createDataFrame([(1, "t", "s")], "doc_id int, text string, source string")
