@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import words
 from granary.llm.graph import components
+from granary.llm.sieve import maybe
 from granary.llm.storage import Scratch
 
 T = 128
@@ -180,9 +181,10 @@ def _confirm(pairs: DataFrame, k: int, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "x binary, y binary")
 
 
-def _texts(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def _texts(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int, scratch: Scratch, label: str) -> DataFrame:
     """(ckey, text), one for each wanted ckey."""
     ids = rows.join(wanted, "ckey", "left_semi").groupBy("ckey").agg(F.min("doc_id").alias("id"))
+    ids = scratch.save(ids, f"{label}-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,14 +192,16 @@ def _texts(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int) -> DataF
                 own = [_key(x) for x in sets(part.column(1), k)]
                 yield part.filter(pa.array([a == b for a, b in zip(own, part.column(0).to_pylist())], pa.bool_()))
 
-    found = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("ckey", "text").mapInArrow(run, "ckey binary, text string")
+    # the other documents' texts are not dealt out
+    some = maybe(docs, F.xxhash64("doc_id"), ids, F.xxhash64("id"))
+    found = some.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("ckey", "text").mapInArrow(run, "ckey binary, text string")
     return found.groupBy("ckey").agg(F.min("text").alias("text"))
 
 
 def _verified(near: DataFrame, rows: DataFrame, docs: DataFrame, scratch: Scratch, label: str, k: int, percent: int) -> DataFrame:
     """The pairs (x, y) of ckeys that are links."""
     wanted = near.select("x").unionByName(near.select(F.col("y").alias("x"))).distinct().withColumnRenamed("x", "ckey")
-    texts = scratch.save(_texts(docs, rows, wanted, k), f"{label}-texts")
+    texts = scratch.save(_texts(docs, rows, wanted, k, scratch, label), f"{label}-texts")
     full = near.join(texts.toDF("x", "tx"), "x").join(texts.toDF("y", "ty"), "y").select("x", "y", "tx", "ty")
     out = scratch.save(_confirm(full, k, percent), f"{label}-links")
     scratch.drop(f"{label}-texts")
@@ -233,7 +237,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     open_ = scratch.save(placed.join(mixed, "key").join(own, "ckey").select("key", "ckey", "root", *slim), "open")
     own_keys = open_.groupBy("ckey").agg(F.collect_list("key").alias("keys"))  # T / ROWS at most
-    fine = scratch.save(_fine(_texts(docs, rows, own_keys, k), k), "fine")
+    fine = scratch.save(_fine(_texts(docs, rows, own_keys, k, scratch, "fine"), k), "fine")
     open_ = scratch.save(open_.join(own_keys, "ckey").join(fine, "ckey"), "keyed")
     # the join itself weighs each pair of a bucket; only pairs that can be links leave it, and each from one bucket
     apart = (F.col("x") < F.col("y")) & (F.col("rootx") != F.col("rooty")) & _alike(percent)
