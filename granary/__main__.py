@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
 
 from granary.engine import Engine
 from granary.plans import ingest
+from granary.server import serve
 from granary.session import session
 from granary.sources.config import Ingest
 
@@ -22,14 +24,21 @@ def main(argv: list[str] | None = None) -> int:
     two = sub.add_parser("search", help="hybrid retrieval")
     two.add_argument("--base", required=True)
     two.add_argument("--top-k", type=int, default=10)
-    two.add_argument("query")
+    two.add_argument("query", help="- reads one query a line from standard input")
+    three = sub.add_parser("serve", help="HTTP")
+    three.add_argument("--base", required=True)
+    three.add_argument("--host", default="127.0.0.1")
+    three.add_argument("--port", type=int, default=8000)
     args = parser.parse_args(argv)
     engine = Engine(session(), args.base)
-    if args.command == "ingest":
+    if args.command == "serve":
+        serve(engine, args.host, args.port).serve_forever()
+    elif args.command == "ingest":
         print(json.dumps(engine.ingest(args.src, config=Ingest.load(args.config) if args.config else Ingest(), only=args.only)))
     else:
-        asked = engine.spark.createDataFrame([(0, args.query)], "qid int, query string")
-        for row in engine.retrieve(asked, args.top_k).orderBy("rank").collect():
+        asked = [x.strip() for x in sys.stdin] if args.query == "-" else [args.query]
+        rows = engine.spark.createDataFrame([(i, q) for i, q in enumerate(asked) if q], "qid int, query string")
+        for row in engine.retrieve(rows, args.top_k).orderBy("qid", "rank").collect():
             print(f"{row['rank']}. {row['score']:.4f} {row['id']}  {row['text'][:140]!r}")
     return 0
 

@@ -10,25 +10,31 @@ from granary.functions import text as T
 
 def pieces(c: Column, size: int, overlap: int, drop_contained_tail: bool = False) -> Column:
     """Array of chunks: one every size - overlap characters (one at least). Empty text: none. size <= 0: the text itself."""
+    none = F.array().cast("array<string>")
     if size <= 0:
-        return F.when(F.char_length(c) > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
+        return F.when(F.char_length(c) > 0, F.array(c)).otherwise(none)
     step = max(1, size - overlap)
-    last = F.char_length(c) - 1
-    if drop_contained_tail:
-        last = F.greatest(F.lit(0), F.char_length(c) - F.lit(max(1, min(overlap, size - 1)) + 1)) if overlap > 0 else last
 
     def made(t: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.substring(t, i + 1, F.lit(size)))
+        last = F.char_length(t) - 1
+        if drop_contained_tail and overlap > 0:
+            last = F.greatest(F.lit(0), F.char_length(t) - F.lit(max(1, min(overlap, size - 1)) + 1))
+        # a piece is cut from its own stretch of some steps, as a substring is counted from the start
+        far = 32 * step
+        stretch = F.transform(F.sequence(F.lit(0), last, F.lit(far)), lambda s: F.struct(s.alias("at"), F.substring(t, s + 1, F.lit(far + size)).alias("t")))
+        own = lambda s: F.transform(F.sequence(F.lit(0), F.least(F.lit(far - step), last - s["at"]), F.lit(step)), lambda i: F.substring(s["t"], i + 1, F.lit(size)))
+        return F.when(F.char_length(t) == 0, none).otherwise(F.flatten(F.transform(stretch, own)))
 
-    return F.when(F.char_length(c) == 0, F.array().cast("array<string>")).otherwise(T.let(c, made))
+    return T.let(c, made)
 
 
 def chunk(docs: DataFrame, size: int = 900, overlap: int = 120, text: str = "text", drop_contained_tail: bool = False) -> DataFrame:
     """docs with chunk_idx, n_chunks and chunk; a text without chunks has one empty chunk. A null text is empty."""
     made = pieces(F.coalesce(F.col(text), F.lit("")), size, overlap, drop_contained_tail)
-    made = F.when(F.size(made) == 0, F.array(F.lit(""))).otherwise(made)
-    rows = docs.withColumn("_chunks", made).withColumn("n_chunks", F.size("_chunks"))
-    return rows.select(*docs.columns, "n_chunks", F.posexplode("_chunks").alias("chunk_idx", "chunk"))
+    made = T.let(made, lambda m: F.when(F.size(m) == 0, F.array(F.lit(""))).otherwise(m))
+    # the array goes through a generator of one row, so it is made once however often it is named
+    rows = docs.select("*", F.explode(F.array(made)).alias("_chunks"))
+    return rows.select(*docs.columns, F.size("_chunks").alias("n_chunks"), F.posexplode("_chunks").alias("chunk_idx", "chunk"))
 
 
 def chunk_path(path: Column, idx: Column, n: Column) -> Column:

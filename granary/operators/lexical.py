@@ -1,8 +1,10 @@
 """An inverted index as tables, and BM25 over it.
 
-`postings` (term, id, tf) and `lengths` (id, length) are built once. A query touches
-only its terms' postings. The idf is ln((N - n + 0.5) / (n + 0.5)), or 1e-6 where
-that is not positive; k1 = 1.2 and b = 0.75; a lower score is better.
+`postings` (term, id, tf, places) and `lengths` (id, length) are built once; `saved`
+writes them. A query touches only its terms' postings. Words that an underscore joins
+in a query are a phrase: they have to stand side by side, which `places` tells. The
+idf is ln((N - n + 0.5) / (n + 0.5)), or 1e-6 where that is not positive; k1 = 1.2 and
+b = 0.75; a lower score is better.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.functions.porter import stemmed
+from granary.storage import Scratch
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 TOKEN = r"([\p{L}\p{N}\p{M}]+)"
@@ -29,46 +32,69 @@ class Index:
         """One row: number of documents, mean length."""
         return self.lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avgdl"))
 
+    def saved(self) -> Index:
+        """The same index as written tables, so searches don't build it again."""
+        scratch = Scratch(self.postings.sparkSession, "lexical")
+        return Index(scratch.save(self.postings, "postings"), scratch.save(self.lengths, "lengths"), self.stem)
+
 
 def build(docs: DataFrame, key: str = "doc_id", columns: list[str] = ["text"], stem: bool = False) -> Index:  # noqa: B006
     """The index over the words of all `columns`. stem: stems, found once for each distinct word."""
     joined = F.concat_ws("\n", *[F.col(c).cast("string") for c in columns])
     tokens = docs.select(F.col(key).alias("id"), F.regexp_extract_all(F.lower(joined), F.lit(TOKEN), F.lit(1)).alias("tokens"))
     lengths = tokens.select("id", F.size("tokens").cast("long").alias("length"))
-    terms = tokens.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    words = tokens.select("id", F.posexplode("tokens").alias("place", "term"))
     if stem:
-        forms = terms.select("term").distinct().withColumn("stem", stemmed("term"))
-        terms = terms.join(forms, "term").groupBy(F.col("stem").alias("term"), "id").agg(F.sum("tf").alias("tf"))
+        forms = words.select("term").distinct().withColumn("stem", stemmed("term"))
+        words = words.join(forms, "term").select("id", "place", F.col("stem").alias("term"))
+    # as many places as the document has words, at most
+    terms = words.groupBy("term", "id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
     return Index(terms, lengths, stem)
 
 
+def _asked(queries: DataFrame, qid: str, query: str, stem: bool) -> DataFrame:
+    """(qid, phrase, part, parts, term): words of a query; a phrase is one word, or several that underscores join."""
+    rows = queries.select(F.col(qid).alias("qid"), F.posexplode(T.query_terms(F.col(query))).alias("phrase", "raw"))
+    rows = rows.select("qid", "phrase", F.filter(F.split(F.lower("raw"), "_"), lambda w: w != "").alias("words"))
+    rows = rows.select("qid", "phrase", F.size("words").alias("parts"), F.posexplode("words").alias("part", "term"))
+    return rows.withColumn("term", stemmed("term")) if stem else rows
+
+
 def query_table(queries: DataFrame, qid: str = "qid", query: str = "query", stem: bool = False) -> DataFrame:
     """(qid, term, times): a term that is asked for twice counts twice."""
-    rows = queries.select(F.col(qid).alias("qid"), F.explode(T.query_terms(F.col(query))).alias("raw"))
-    # an underscore joins words to a phrase in the expression; here its words are asked for singly
-    rows = rows.select("qid", F.explode(F.split(F.lower("raw"), "_")).alias("term")).where("term <> ''")
-    if stem:
-        rows = rows.withColumn("term", stemmed("term"))
-    return rows.groupBy("qid", "term").agg(F.count("*").alias("times"))
+    return _asked(queries, qid, query, stem).groupBy("qid", "term").agg(F.count("*").alias("times"))
+
+
+def _in_order(index: Index, queries: DataFrame, hits: DataFrame, qid: str, query: str) -> DataFrame:
+    """hits (qid, id, ...) without those that lack a phrase of their query."""
+    parts = _asked(queries, qid, query, index.stem).where("parts > 1")
+    need = parts.groupBy("qid").agg(F.count_distinct("phrase").alias("phrases"))
+    at = index.postings.join(parts, "term").select("qid", "id", "phrase", "parts", "part", F.explode(F.transform("places", lambda p: p - F.col("part"))).alias("start"))
+    whole = at.groupBy("qid", "id", "phrase", "start", "parts").agg(F.count_distinct("part").alias("met")).where("met = parts")
+    found = whole.groupBy("qid", "id").agg(F.count_distinct("phrase").alias("had"))
+    out = hits.join(need, "qid", "left").join(found, ["qid", "id"], "left")
+    return out.where("phrases IS NULL OR had = phrases").select(*hits.columns)
 
 
 def matches(index: Index, queries: DataFrame, qid: str = "qid", query: str = "query") -> DataFrame:
-    """(qid, id): documents that have all terms of a query."""
+    """(qid, id): documents that have all terms and phrases of a query."""
     asked = query_table(queries, qid, query, index.stem)
     need = asked.groupBy("qid").agg(F.count("*").alias("need"))
-    return index.postings.join(asked, "term").groupBy("qid", "id").agg(F.count("*").alias("got")).join(need, "qid").where("got = need").select("qid", "id")
+    hits = index.postings.join(asked, "term").groupBy("qid", "id").agg(F.count("*").alias("got")).join(need, "qid").where("got = need").select("qid", "id")
+    return _in_order(index, queries, hits, qid, query)
 
 
 def search(index: Index, queries: DataFrame, k: int, qid: str = "qid", query: str = "query") -> DataFrame:
-    """(qid, id, bm25, rank): the best k documents that have all terms; ties by id."""
+    """(qid, id, bm25, rank): the best k documents that have all terms and phrases; ties by id."""
     asked = query_table(queries, qid, query, index.stem)
     need = asked.groupBy("qid").agg(F.count("*").alias("need"))
-    hits = index.postings.join(asked, "term")
-    df = hits.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    df = index.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    hits = index.postings.select("term", "id", "tf").join(asked, "term")
     rows = hits.join(df, "term").join(index.lengths, "id").join(F.broadcast(index.stats()))  # stats: one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf)
     part = F.col("times") * idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
     scored = rows.groupBy("qid", "id").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("got")).join(need, "qid").where("got = need")
     order = Window.partitionBy("qid").orderBy(F.round("bm25", 9), "id")
+    scored = _in_order(index, queries, scored.select("qid", "id", "bm25"), qid, query)
     return scored.select("qid", "id", "bm25", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)

@@ -22,7 +22,8 @@ def paraphrase(docs: DataFrame, cache: DataFrame, style: str, max_new_tokens: in
     shares too little with its source, gives way to the source.
     """
     keyed = docs.withColumn("cache_key", text.cache_key(F.col(column), F.lit(style), max_new_tokens))
-    known = cache.select("cache_key", F.col("output_text").alias("_cached")).dropDuplicates(["cache_key"])
+    # an upserted cache has one row a key; of several, the least text, so that every run takes the same
+    known = cache.groupBy("cache_key").agg(F.min("output_text").alias("_cached"))
     rows = keyed.join(known, "cache_key", "left")
     if client is None:
         return rows.select(*docs.columns, "cache_key", F.coalesce("_cached", column).alias("paraphrased"), F.when(F.col("_cached").isNotNull(), F.lit("cache")).otherwise(F.lit("source")).alias("origin"))
@@ -82,6 +83,22 @@ def http_client(url: str, max_new_tokens: int = 256, timeout: int = 20) -> Calla
     return build
 
 
+def first_answer(*clients: Callable[[], Client]) -> Callable[[], Client]:
+    """A client that asks one after the other until one answers; None if none does, so the text passes through."""
+
+    def build() -> Client:
+        made = [c() for c in clients]
+        return lambda prompt: next((x for x in (m(prompt) for m in made) if x), None)
+
+    return build
+
+
+def stats(done: DataFrame) -> DataFrame:
+    """One row of counts: inputs, rewritten, cache_hits, passed_through."""
+    of = lambda o: F.count_if(F.col("origin") == o)
+    return done.agg(F.count("*").alias("inputs"), of("model").alias("rewritten"), of("cache").alias("cache_hits"), of("source").alias("passed_through"))
+
+
 def command_client(command: list[str], timeout: int = 60) -> Callable[[], Client]:
     """A client that runs a command with the prompt as its last argument."""
 

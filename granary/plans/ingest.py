@@ -7,15 +7,19 @@ a stage reads the best table that there is, as its predecessor wrote it.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.operators import chunking, dedup, lexical, paraphrase, vectors
+from granary.operators import catalog, chunking, dedup, lexical, paraphrase, vectors
 from granary.sources import files
 from granary.sources.config import Ingest
+from granary.storage import Scratch
 
 STAGES = ("extracted", "normalized", "paraphrased", "deduped", "lines", "vectors")
 
@@ -55,6 +59,35 @@ def best(spark: SparkSession, base: str, before: str) -> DataFrame:
     raise FileNotFoundError(f"no table below {base} that stage {before} could read")
 
 
+def mirror(docs: DataFrame, root: str, path: str = "doc_path", text: str = "text") -> DataFrame:
+    """Write each text to a .txt file of its own below root, by its path; (path) of those written.
+
+    For corpora that other programs read as files: root is a folder that all executors share.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = Path(root) / (name if name.endswith(".txt") else f"{name}.txt")
+                if not at.resolve().is_relative_to(Path(root).resolve()):
+                    raise ValueError(f"{name} is not below {root}")
+                at.parent.mkdir(parents=True, exist_ok=True)
+                whole = at.with_name(f".{at.name}.{uuid.uuid4().hex}")  # a task that runs twice leaves one whole file
+                whole.write_text(body or "", encoding="utf-8")
+                whole.replace(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    return docs.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(put, "path string")
+
+
+def save_snapshot(vectors_: DataFrame, base: str, id_: str = "line_id", vector: str = "embedding") -> None:
+    """The vectors with the id of each (one table, so they can't fall apart), after a check of their lengths and ids."""
+    found = vectors_.agg(F.count("*").alias("n"), F.count_distinct(id_).alias("ids"), F.min(F.size(vector)).alias("a"), F.max(F.size(vector)).alias("b")).first()
+    if found["n"] != found["ids"] or found["a"] != found["b"]:
+        raise ValueError(f"{found['n']} vectors of {found['a']} to {found['b']} numbers for {found['ids']} ids")
+    vectors_.select(F.col(id_).alias("id"), F.col(vector).alias("embedding")).write.mode("overwrite").parquet(f"{base}/snapshot")
+
+
 def run(spark: SparkSession, roots: list[str], base: str, config: Ingest = Ingest(), only: str | None = None, style: str = "", client: Callable | None = None, embedder: Callable | None = None) -> dict:  # noqa: B008
     """Run all stages, or one, and return its counts."""
     began, stats = time.time(), {}
@@ -78,12 +111,18 @@ def run(spark: SparkSession, roots: list[str], base: str, config: Ingest = Inges
             cache = spark.createDataFrame([], "cache_key string, output_text string")
         done = paraphrase.paraphrase(rows.withColumn("text", T.light_clean("text")), cache, style, client=client)
         put("paraphrased", done.withColumn("text", F.col("paraphrased")).drop("paraphrased"))
-        paraphrase.cache_rows(spark.read.parquet(f"{base}/paraphrased").withColumn("paraphrased", F.col("text"))).write.mode("append").parquet(f"{base}/paraphrase_cache")
+        done = spark.read.parquet(f"{base}/paraphrased").withColumn("paraphrased", F.col("text"))
+        new = paraphrase.cache_rows(done).select("cache_key", "output_text")
+        # written beside the old one and read again, as a table can't be overwritten while it is read
+        merged = Scratch(spark, "cache").save(catalog.upsert(cache.select("cache_key", "output_text"), new, "cache_key"), "merged")
+        put("paraphrase_cache", merged)
+        stats |= paraphrase.stats(done).first().asDict()
     if "deduped" in wanted:
         rows = best(spark, base, "deduped")
         good = put("deduped", kept(rows.select("doc_path", "chunk_idx", "chunk_path", "text"), config.dedup_threshold, config.shingle))
         stats |= {"kept": good.count()}
-        stats["dropped"] = rows.count() - stats["kept"]
+        stats["inputs"] = rows.count()
+        stats["dropped"] = stats["inputs"] - stats["kept"]
     if "lines" in wanted:
         put("lines", chunking.lines(best(spark, base, "lines"), "chunk_path"))
     if "vectors" in wanted:
@@ -93,4 +132,5 @@ def run(spark: SparkSession, roots: list[str], base: str, config: Ingest = Inges
         put("postings", index.postings)
         put("lengths", index.lengths)
     stats["elapsed_seconds"] = round(time.time() - began, 3)
+    files.write_log(spark, stats, f"{base}/log")
     return stats

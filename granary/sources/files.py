@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import re
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +15,35 @@ from granary.functions import text as T
 from granary.sources.extract import IMAGES, READERS, extractor, from_image
 
 
+def same_files(paths: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path) with what a local file is besides its name: device and inode, and whether it is reached by a link."""
+    for batch in paths:
+        known, link = [], []
+        for path in batch.column(0).to_pylist():
+            local = unquote(re.sub("^file:(//)?", "", path))
+            try:
+                own = os.stat(local)
+                known.append(f"{own.st_dev}:{own.st_ino}")
+                link.append(os.path.islink(local))
+            except OSError:  # not a local file: its name is all that tells it
+                known.append(path)
+                link.append(False)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, pa.string()), pa.array(link, pa.bool_())], names=["path", "file", "link"])
+
+
+def once(files: DataFrame) -> DataFrame:
+    """Each file of files (path, ...) once: of names for one file the first that is no symbolic link, else the first."""
+    told = files.select("path").distinct().mapInArrow(same_files, "path string, file string, link boolean")
+    first = told.groupBy("file").agg(F.min(F.struct("link", "path")).alias("f")).select(F.col("f.path").alias("path"))
+    return files.dropDuplicates(["path"]).join(first, "path", "left_semi")
+
+
 def scan(spark: SparkSession, roots: list[str], pattern: str | None = None) -> DataFrame:
-    """(path, modificationTime, length, content) of all files below the roots, each path once."""
+    """(path, modificationTime, length, content) of all files below the roots, each file once."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(roots).dropDuplicates(["path"])
+    return once(reader.load(roots))
 
 
 def collect(spark: SparkSession, roots: list[str], allowed: list[str] | None = None, max_mb: float = 32.0, ocr_images: bool = False, readers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
@@ -27,7 +54,7 @@ def collect(spark: SparkSession, roots: list[str], allowed: list[str] | None = N
     readers = {**READERS, **({s: from_image for s in IMAGES} if ocr_images else {}), **(readers or {})}
     kinds = sorted(readers if allowed is None else {a.lower() for a in allowed} & set(readers))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
-    listed = files.select("path", "length").dropDuplicates(["path"]).withColumn("ext", T.suffix(F.col("path")))
+    listed = once(files.select("path", "length")).withColumn("ext", T.suffix(F.col("path")))
     plain = [r.replace("file://", "") for r in roots]
     below = T.relative_to(F.regexp_replace("path", "^file:(//)?", ""), plain)
     listed = listed.withColumn("doc_path", below).withColumn("skip", F.when(~F.col("ext").isin(kinds), F.lit("skipped_ext")).when(F.col("length") > max_mb * 1048576, F.lit("skipped_size")))
@@ -44,15 +71,14 @@ def read_texts(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(T.relative_to(path, [root.replace("file://", "")]).alias("doc_path"), F.col("value").alias("text"))
 
 
-def stats(files: DataFrame) -> DataFrame:
-    """One row: processed, written, skipped_size, skipped_ext, failed."""
+def stats(files: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """One row, or one for each group: processed, written, skipped_size, skipped_ext, failed, ocr_used."""
     is_ = lambda *s: F.count_if(F.col("status").isin(*s))
-    return files.agg(is_("ok", "failed").alias("processed"), is_("ok").alias("written"), is_("skipped_size").alias("skipped_size"), is_("skipped_ext").alias("skipped_ext"), is_("failed").alias("failed"))
+    ocr = F.count_if((F.col("status") == "ok") & F.col("ext").isin(*IMAGES))
+    return files.groupBy(*by).agg(is_("ok", "failed").alias("processed"), is_("ok").alias("written"), is_("skipped_size").alias("skipped_size"), is_("skipped_ext").alias("skipped_ext"), is_("failed").alias("failed"), ocr.alias("ocr_used"))
 
 
 def write_log(spark: SparkSession, stats: dict, path: str) -> None:
     """One JSON line of a run: ts, stats, cwd."""
-    import os
-
     row = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.struct(*[F.lit(v).alias(k) for k, v in stats.items()]).alias("stats"), F.lit(os.getcwd()).alias("cwd"))
     row.coalesce(1).write.mode("append").json(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import catalog, chunking, dedup, generate, hybrid, lexical, paraphrase, vectors
 
+# The compared system's own example and its results.
 CORPUS = [
     (1, "Sys-bot uses FastAPI and Ollama for local inference.", "portfolio.md"),
     (2, "CI/CD uses GitHub Actions and Watchtower on EC2 to auto-update containers.", "cicd.md"),
@@ -29,6 +30,13 @@ def test_chunk_edges(spark):
     assert [r.chunk for r in chunking.chunk(docs, 0, 0).collect()] == ["abc", ""]
 
 
+@pytest.mark.parametrize("n", [900, 901, 780 * 32, 780 * 32 + 1, 780 * 64 + 121, 60_000])
+def test_long_texts_chunk_as_short_ones_do(spark, n):
+    text = "".join(random.Random(n).choices("abcé ", k=n))
+    got = [r.chunk for r in chunking.chunk(spark.createDataFrame([(text,)], "text string")).orderBy("chunk_idx").collect()]
+    assert got == [text[i : i + 900] for i in range(0, n, 780)]
+
+
 def test_chunk_paths(spark):
     df = spark.createDataFrame([("a/b.txt", 0, 1), ("a/b.txt", 1, 2)], "p string, i int, n int")
     assert [r[0] for r in df.select(chunking.chunk_path(F.col("p"), F.col("i"), F.col("n"))).collect()] == ["a/b.txt", "a/b.part002.txt"]
@@ -56,6 +64,15 @@ def test_bm25_golden(spark, query, want):
     assert np.allclose([r.bm25 for r in got], [w[1] for w in want], atol=1e-8)
 
 
+def test_phrases(spark):
+    """Words that an underscore joins have to stand side by side."""
+    docs = spark.createDataFrame([(1, "the foo bar"), (2, "bar foo"), (3, "foo and bar, foo bar")], "id int, text string")
+    index = lexical.build(docs, "id", stem=True).saved()
+    asked = spark.createDataFrame([(0, "foo_bar"), (1, "foo bar"), (2, "the foo_bar"), (3, "foo__bar foo_and")], "qid int, query string")
+    for got in (lexical.matches(index, asked), lexical.search(index, asked, 5)):
+        assert sorted((r.qid, r.id) for r in got.collect()) == [(0, 1), (0, 3), (1, 1), (1, 2), (1, 3), (2, 1), (3, 3)]
+
+
 def _signed(spark, sets):
     return spark.createDataFrame(list(enumerate(map(list, sets))), "id int, items array<bigint>")
 
@@ -65,8 +82,17 @@ def test_pairs_against_brute_force(spark):
     base = [rng.sample(range(60), 20) for _ in range(8)]
     sets = [set(b) - set(rng.sample(b, rng.randint(0, 4))) | set(rng.sample(range(60, 90), rng.randint(0, 3))) for b in base for _ in range(6)]
     for t in (0.5, 0.8, 0.9):
-        want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])}
-        assert {(r.a, r.b) for r in dedup.pairs(_signed(spark, sets), t).collect()} == want
+        rep = [min(j for j in range(len(sets)) if sets[j] == x) for x in sets]
+        firsts = sorted(set(rep))
+        want = {(i, j) for i, j in itertools.combinations(firsts, 2) if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])}
+        assert {(r.a, r.b) for r in dedup.pairs(_signed(spark, sets), t).collect()} == want | {(r, i) for i, r in enumerate(rep) if i != r}
+
+
+def test_many_copies_are_one_class(spark):
+    """10,000 copies of a set and a near one: links by the first copy, not 50 million pairs."""
+    near = list(range(100))
+    signs = spark.range(10_000).select("id", F.lit(near).cast("array<bigint>").alias("items")).unionByName(spark.createDataFrame([(20_000, near[:-2] + [500])], "id long, items array<bigint>"))
+    assert dedup.pairs(signs, 0.9).count() == 10_000
 
 
 def test_first_independent(spark):
@@ -76,8 +102,18 @@ def test_first_independent(spark):
     for x in sorted({v for e in edges for v in e}):
         if not any((y, x) in edges for y in kept):
             kept.add(x)
-    drop = {r.id for r in dedup.first_independent(spark.createDataFrame(sorted(edges), "a int, b int")).collect()}
-    assert drop == {v for e in edges for v in e} - kept and 52 not in drop
+    table = spark.createDataFrame(sorted(edges), "a int, b int")
+    for few in (dedup.FEW_EDGES, 20):  # in one task, and by rounds before that
+        drop = {r.id for r in dedup.first_independent(table, few).collect()}
+        assert drop == {v for e in edges for v in e} - kept and 52 not in drop
+
+
+def test_a_long_chain_settles(spark):
+    chain = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.id for r in dedup.first_independent(chain).collect()} == set(range(1, 401, 2))
+    assert {r.id for r in dedup.first_independent(chain.where("a < 12"), 3).collect()} == set(range(1, 13, 2))
+    pairs = spark.createDataFrame([(("a", 1), ("b", 2)), (("b", 2), ("c", 1))], "a struct<p:string,i:int>, b struct<p:string,i:int>")
+    assert [tuple(r.id) for r in dedup.first_independent(pairs).collect()] == [("b", 2)]
 
 
 def test_deduplicate_short_texts(spark):
@@ -94,8 +130,12 @@ def test_semantic_pairs(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, [float(y) for y in v], i % 3) for i, v in enumerate(x)], "vec_id int, embedding array<double>, label int")
     want = {(i, j) for i, j in itertools.combinations(range(40), 2) if x[i] @ x[j] >= (0.92 if i % 3 == j % 3 else 0.96)}
-    got = {(r.a, r.b) for r in dedup.semantic_pairs(df, group="label", block=7).collect()}
-    assert got == want and want
+    for exact in (True, False):
+        got = {(r.a, r.b) for r in dedup.semantic_pairs(df, group="label", exact=exact, block=7).collect()}
+        assert got == want and want
+    copies = df.where("vec_id = 0").crossJoin(spark.range(100, 400).toDF("n")).select(F.col("n").cast("int").alias("vec_id"), "embedding", "label")
+    assert dedup.semantic_pairs(df.unionByName(copies), group="label").count() == len(want) + 300
+    assert dedup.semantic_dedup(df.unionByName(copies), group="label").where("kept").count() == 40 - len({b for _, b in want})
     assert dedup.semantic_dedup(df, group="label").where("kept").count() == 40 - len({b for _, b in want})
 
 
@@ -124,6 +164,22 @@ def test_merge_and_rank(spark):
     assert [(r.id, r.score) for r in got] == [("lex-a", 0.0), ("vec-a", 0.0)]
 
 
+def test_sidecar_and_snippets(spark):
+    hits = spark.createDataFrame([(0, 0), (0, 7)], "qid int, ordinal int")
+    named = hybrid.by_ordinal(hits, spark.createDataFrame([(0, "a:1")], "ordinal int, id string"))
+    assert [r.id for r in named.orderBy("ordinal").collect()] == ["a:1", "7"]
+    lines = spark.createDataFrame([("a:1", "one")], "line_id string, line string")
+    assert {r.id: r.snippet for r in hybrid.snippets(named, lines).collect()} == {"a:1": "one", "7": "(text not found)"}
+
+
+def test_tables_and_embedder(spark, tmp_path):
+    catalog.create(spark, str(tmp_path))
+    assert set(catalog.TABLES) == {p.name for p in tmp_path.iterdir()} and not catalog.exists(spark, "nothing_like_this")
+    docs = spark.createDataFrame([("ab",), (None,)], "text string")
+    got = vectors.embed(docs, lambda: lambda texts: [[len(t), 3.0] for t in texts]).collect()
+    assert np.allclose([r.embedding for r in got], [[2 / 13**0.5, 3 / 13**0.5], [0, 1]])
+
+
 def test_rerank(spark):
     hits = spark.createDataFrame([(0, "a", "q", "x", 1), (0, "b", "q", "xxx", 2), (0, "c", "q", "xx", 3)], "qid int, id string, query string, text string, rank int")
     got = hybrid.rerank(hits, lambda: lambda pairs: [len(t) for _, t in pairs], 2).orderBy("rank").collect()
@@ -157,6 +213,8 @@ def test_paraphrase(spark):
     assert {r.doc_id: (r.paraphrased, r.origin) for r in done.collect()} == {0: ("keep 5 cats here today", "model"), 1: ("two words 7", "source"), 2: ("known", "source")}
     again = paraphrase.paraphrase(docs, paraphrase.cache_rows(done), "plain")
     assert {r.doc_id: r.origin for r in again.collect()} == {0: "cache", 1: "source", 2: "source"}
+    assert paraphrase.stats(done).first().asDict() == {"inputs": 3, "rewritten": 1, "cache_hits": 0, "passed_through": 2}
+    assert paraphrase.first_answer(lambda: lambda p: None, lambda: lambda p: p + "!")()("x") == "x!" and paraphrase.first_answer()()("x") is None
     assert paraphrase.completion_text('{"choices": [{"text": " a "}]}') == "a" and paraphrase.completion_text("[]") is None
 
 

@@ -1,11 +1,14 @@
 import io
 import json
+import threading
+import urllib.request
 import zipfile
 
 import duckdb
 import pytest
 
 import __spark_entry__
+from granary import server
 from granary.engine import Engine
 from granary.plans import ingest, registry
 from granary.sources import config, extract, files
@@ -49,7 +52,31 @@ def test_collect(spark, tmp_path):
     (tmp_path / "bad.docx").write_text("no zip")
     got = files.collect(spark, [str(tmp_path)], max_mb=0.002)
     assert {r.doc_path: (r.text, r.status) for r in got.collect()} == {"a/x.md": ("# T\n", "ok"), "p.html": ("hi", "ok"), "q.exe": ("", "skipped_ext"), "big.txt": ("", "skipped_size"), "bad.docx": ("", "failed")}
-    assert files.stats(got).first().asDict() == {"processed": 3, "written": 2, "skipped_size": 1, "skipped_ext": 1, "failed": 1}
+    assert files.stats(got).first().asDict() == {"processed": 3, "written": 2, "skipped_size": 1, "skipped_ext": 1, "failed": 1, "ocr_used": 0}
+
+
+def test_a_file_of_two_names_is_read_once(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("same")
+    (tmp_path / "c.txt").hardlink_to(tmp_path / "b.txt")
+    (tmp_path / "a.txt").symlink_to(tmp_path / "b.txt")
+    (tmp_path / "d e.txt").write_text("other")
+    assert sorted(r.doc_path for r in files.collect(spark, [str(tmp_path)]).collect()) == ["b.txt", "d e.txt"]
+    assert files.scan(spark, [str(tmp_path)]).count() == 2
+    assert {r.doc_path: r.text for r in files.read_texts(spark, str(tmp_path)).collect()}["b.txt"] == "same"
+
+
+def test_mirror_and_snapshot(spark, tmp_path):
+    docs = spark.createDataFrame([("a/x.part001.txt", "one"), ("b", None)], "doc_path string, text string")
+    assert ingest.mirror(docs, str(tmp_path / "out")).count() == 2
+    assert (tmp_path / "out/a/x.part001.txt").read_text() == "one" and (tmp_path / "out/b.txt").read_text() == ""
+    assert sorted(p.name for p in (tmp_path / "out/a").iterdir()) == ["x.part001.txt"]
+    with pytest.raises(Exception, match="not below"):
+        ingest.mirror(docs.limit(1).selectExpr("'../z' AS doc_path", "text"), str(tmp_path / "out")).count()
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 0.0])], "line_id string, embedding array<double>")
+    ingest.save_snapshot(rows, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "snapshot")).count() == 2
+    with pytest.raises(ValueError, match="2 vectors"):
+        ingest.save_snapshot(rows.withColumn("line_id", rows.line_id.substr(9, 1)), str(tmp_path))
 
 
 def test_ingest_and_retrieve(spark, tmp_path):
@@ -67,8 +94,21 @@ def test_ingest_and_retrieve(spark, tmp_path):
     chat = spark.createDataFrame([(0, "watchtower", None, None, None, None)], "qid int, message string, history array<struct<role:string,content:string>>, persona string, temperature double, max_tokens int")
     assert engine.chat(chat).first().citations[0] == "one.md"
     assert engine.health()["status"] == "ok" and engine.bots() == []
-    files.write_log(spark, stats, str(tmp_path / "log"))
-    assert json.loads("".join(p.read_text() for p in (tmp_path / "log").glob("*.json")))["stats"]["kept"] == 2
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "base/log").glob("*.json")))["stats"]["kept"] == 2
+    status, said = server.answer(engine, "GET", "/retrieve?query=watchtower&top_k=2")
+    assert status == 200 and said["results"][0]["id"] == "one.md"
+    status, said = server.answer(engine, "POST", "/chat", json.dumps({"message": "watchtower", "history": [{"role": "user", "content": "hi"}], "temperature": 0}).encode())
+    assert status == 200 and said["citations"][0] == "one.md" and said["meta"] == {"engine": "echo"} and "User question:\nwatchtower" in said["text"]
+    assert [server.answer(engine, *x)[0] for x in [("GET", "/health"), ("GET", "/bots"), ("GET", "/none"), ("GET", "/retrieve"), ("POST", "/chat", b"{}"), ("POST", "/chat", b"[]"), ("POST", "/chat", b"no")]] == [200, 200, 404, 422, 422, 422, 422]
+    running = server.serve(engine, port=0)
+    threading.Thread(target=running.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{running.server_port}/health", timeout=30) as r:
+        assert json.load(r)["status"] == "ok"
+    running.shutdown()
+    # the rewriter's cache has one row a key, run after run
+    for _ in range(2):
+        engine.ingest([str(src)], only="paraphrased", style="plain", client=lambda: lambda prompt: None)
+    assert spark.read.parquet(str(tmp_path / "base/paraphrase_cache")).count() == 0
     with pytest.raises(FileNotFoundError):
         ingest.best(spark, str(tmp_path / "none"), "lines")
 

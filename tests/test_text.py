@@ -24,6 +24,8 @@ def one(spark, value, f, kind="string"):
         ("```\nx  y &amp; z\n```", "```\nx  y & z\n```"),
         ("ﬁne\x0c &lt;b&gt;", "fine <b>"),
         ("[[[CODE_7]]] stays", "[[[CODE_7]]] stays"),
+        ("a  \n~~~\n 1  2 \n\n\n\n~~~  \n\n\n\nb \t", "a\n~~~\n 1  2 \n\n\n\n~~~\n\nb"),
+        ("one  two é &amp;", "one two é &"),
         ("", ""),
     ],
 )
