@@ -1,8 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
 Each half-round is an aggregate of minima and a join on the node, both of which
-tolerate a node of very high degree: minima combine before the shuffle, and the
-join is one that adaptive execution splits. No group of neighbours is gathered.
+tolerate a node of very high degree: minima combine before the shuffle, and they are
+written before the join, so both its sides come from plain shuffles and adaptive
+execution splits the node's rows. No group of neighbours is gathered.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 from granary.llm.storage import Scratch
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, scratch: Scratch, label: str) -> DataFrame:
     """edges: a > b, distinct."""
     if large:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = near.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
+        least = scratch.save(least, f"{label}-least")
         out = near.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
@@ -37,7 +39,7 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     seen, turn = mark(kept), 0
     while seen[0]:
         turn += 1
-        kept = scratch.save(_stars(_stars(kept, True), False), f"{label}-{turn}")
+        kept = scratch.save(_stars(_stars(kept, True, scratch, label), False, scratch, label), f"{label}-{turn}")
         scratch.drop(f"{label}-{turn - 1}")
         now = mark(kept)
         if now == seen:

@@ -1,53 +1,5 @@
-"""Intermediate tables in the folder that all executors share.
+"""Intermediate tables and free column names, as in the rest of the library."""
 
-`spark.checkpoint.dir` names that folder. Only where it is unset (tests on one
-machine) a folder of our own takes its place; on a cluster that is an error.
-"""
+from granary.storage import Scratch, fresh, shared_dir
 
-from __future__ import annotations
-
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, as a URI or path that Spark's readers and writers take."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="granary-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-class Scratch:
-    """Tables of one operator call; `drop` removes those that no later step reads."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/granary/{label}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        """Write df, then read it back: the lineage above it is gone."""
-        path = f"{self.root}/{name}"
-        df.write.option("compression", compression).mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def fresh(df: DataFrame, base: str) -> str:
-    """A column name that df does not have (names compare without case)."""
-    taken, name = {c.lower() for c in df.columns}, base
-    while name.lower() in taken:
-        name += "_"
-    return name
+__all__ = ["Scratch", "fresh", "shared_dir"]
