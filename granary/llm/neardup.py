@@ -19,7 +19,9 @@ Edges: a null text, or one without words, has no shingles, links with nothing an
 is its own component. Equal sets are collapsed before sketches are compared. Rows
 with one doc_id are rows of their own: the id is only reported. A null doc_id is
 never the least of a component unless all are null. Repeated rows get equal
-results. An empty table gives an empty table.
+results. Ties, equal sets, share everything but the id. A very long text is sketched
+whole. An empty table gives an empty table; other columns, whatever their names, are
+carried (keep_first) or ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from granary.llm import words
 from granary.llm.graph import components
 from granary.llm.sieve import maybe
-from granary.llm.storage import Scratch
+from granary.llm.storage import Scratch, fresh
 
 T = 128
 ROWS = 4
@@ -261,3 +263,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     out = rows.join(ids, "ckey", "left")
     component = F.when(F.col("ckey").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, as they are, without near duplicates: of each component one row stays, that of least (doc_id, hash of its text).
+
+    Rows that repeat both are copies as well, and one of them stays; rows without
+    words all stay, and so do other rows of a null or repeated doc_id.
+    """
+    scratch = Scratch(docs.sparkSession, "neardup")
+    key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
+    found = near_duplicates(docs.select(key.alias("doc_id"), F.col(text).alias("text")), k, percent)
+    found = found.where("n_shingles > 0").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
+    own, of, kept, row = (fresh(docs, f"near_{n}") for n in ("own", "of", "kept", "row"))
+    found = scratch.save(found.select("doc_id", "kept"), "found").toDF(of, kept)
+    # the other rows are not dealt out
+    alone, some = (maybe(docs, F.xxhash64(key), found, F.xxhash64(of), wanted) for wanted in (False, True))
+    met = some.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), key.alias(own)).join(found, F.col(own).eqNullSafe(F.col(of)), "left")
+    single = met.where(F.col(kept).isNull()).select(row)
+    # of equal rows one is picked as they combine, before they are dealt out
+    again = met.where(kept).groupBy(own).agg(F.first(row).alias(row)).select(row)
+    back = [F.col(row).getField(c).alias(c) for c in docs.columns]
+    return alone.unionByName(single.select(*back)).unionByName(again.select(*back))
