@@ -10,20 +10,23 @@ _WORD = r"[^\x20\x09-\x0D]+"
 def _quality() -> str:
     measures = quality.MEASURES
     p = quality.PRECISION
-    values = ", ".join(f"({s} * {a}) // greatest({b}, 1) AS {m}" for m, (a, b, s, _, _) in measures.items())
+    values = ", ".join(f"({m[2]} * {m[0]}) // greatest({m[1]}, 1) AS {name}" for name, m in measures.items())
     long = " UNION ALL ".join(f"SELECT lang, source, {i} AS m, {m} AS v FROM good" for i, m in enumerate(measures))
-    room = " ".join(f"WHEN {i} THEN {x[4]}" for i, x in enumerate(measures.values()))
-    both = ", ".join(str(i) for i, x in enumerate(measures.values()) if x[3])
+    rules = ", ".join(f"({i}, {m[4]}, {m[5]}, {str(m[3]).lower()})" for i, m in enumerate(measures.values()))
 
     def fences(name: str, by: str) -> str:
         keys = f"{by}, m" if by else "m"
+        at = lambda level: f"min(CASE WHEN seen * 1000 >= total * ({level}) THEN bucket END)"
         return f"""
 {name}_c AS (SELECT {keys}, bucket, count(*) AS n FROM cells GROUP BY ALL),
-{name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY {keys}) AS total FROM {name}_c),
-{name}_q AS (SELECT {keys}, max(total) AS n, min(CASE WHEN seen * 4 >= total THEN val(bucket) END) AS q1, min(CASE WHEN seen * 4 >= total * 3 THEN val(bucket) END) AS q3 FROM {name}_r GROUP BY ALL),
-{name} AS (SELECT {keys}, n, CASE WHEN m IN ({both}) THEN q1 - greatest({quality.REACH} * (q3 - q1), CASE m {room} END) ELSE -1 END AS low, q3 + greatest({quality.REACH} * (q3 - q1), CASE m {room} END) AS high FROM {name}_q)"""
+{name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY {keys}) AS total FROM {name}_c JOIN rules USING (m)),
+{name}_q AS (SELECT {keys}, reach, two, max(total)::DOUBLE AS n, {at('1000 - level')} AS a, {at('500')} AS c, {at('level')} AS b FROM {name}_r GROUP BY {keys}, reach, two),
+{name} AS (SELECT {keys}, n, (CASE WHEN two THEN val(a) - reach * (val(c) - val(a)) ELSE -1 END)::DOUBLE AS low, (top(b) + reach * (val(b) - val(c)))::DOUBLE AS high FROM {name}_q)"""
 
-    # val(): the least value of a bucket, as the sketch gives it
+    def drawn(side: str, own: str, wide: str) -> str:
+        return f"(({own}.n * {own}.{side} + {float(quality.WEIGHT)}::DOUBLE * {wide}.{side}) / ({own}.n + {float(quality.WEIGHT)}::DOUBLE)) AS {side}"
+
+    # val() and top(): the least and the greatest number of a bucket
     text = f"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, lang, source, t, regexp_extract_all(t, '{_WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
@@ -35,12 +38,17 @@ f AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_repl
       len(l)::BIGINT AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_upper FROM w LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {values} FROM f),
 good AS (SELECT * FROM b WHERE NOT base_failed),
+rules AS (SELECT * FROM (VALUES {rules}) r(m, level, reach, two)),
 cells AS (SELECT lang, source, m, greatest(0, length(bin(v)) - {p}) * {1 << p} + (v >> greatest(0, length(bin(v)) - {p})::BIGINT) AS bucket FROM ({long})),{fences("own", "lang, source")},{fences("wide", "lang")},{fences("everything", "")},
+lang_ AS (SELECT wide.lang, m, {drawn("low", "wide", "everything")}, {drawn("high", "wide", "everything")} FROM wide JOIN everything USING (m)),
+last AS (SELECT own.lang, own.source, own.m, {drawn("low", "own", "lang_")}, {drawn("high", "own", "lang_")} FROM own JOIN lang_ ON own.m = lang_.m AND own.lang IS NOT DISTINCT FROM lang_.lang),
 v AS (SELECT doc_id, m, CASE m {" ".join(f"WHEN {i} THEN {m}" for i, m in enumerate(measures))} END AS v, lang, source FROM b, (SELECT unnest(range(0, {len(measures)})) AS m)),
-j AS (SELECT v.doc_id, bool_and(v.v BETWEEN CASE WHEN o.n >= {quality.LEAST} THEN o.low WHEN x.n >= {quality.LEAST} THEN x.low ELSE e.low END AND CASE WHEN o.n >= {quality.LEAST} THEN o.high WHEN x.n >= {quality.LEAST} THEN x.high ELSE e.high END) AS fine
-      FROM v LEFT JOIN own o ON o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source AND o.m = v.m LEFT JOIN wide x ON x.lang IS NOT DISTINCT FROM v.lang AND x.m = v.m LEFT JOIN everything e ON e.m = v.m GROUP BY v.doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fine, true) AS kept, n_lines, n_upper FROM b JOIN j USING (doc_id)"""
-    return text.replace("val(bucket)", f"((bucket % {1 << p}) << (bucket // {1 << p})::BIGINT)")
+j AS (SELECT v.doc_id, bool_and(coalesce(v.v BETWEEN o.low AND o.high, true)) AS fine
+      FROM v LEFT JOIN last o ON o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source AND o.m = v.m GROUP BY v.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept, n_lines, n_upper FROM b JOIN j USING (doc_id)"""
+    for c in "abc":
+        text = text.replace(f"val({c})", f"(({c} % {1 << p}) << ({c} // {1 << p})::BIGINT)").replace(f"top({c})", f"((({c} % {1 << p}) + 1) << ({c} // {1 << p})::BIGINT) - 1")
+    return text
 
 
 NEAR = rf"""
@@ -62,26 +70,37 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 're
 
 
 def _licences() -> str:
-    """Every block against every template; no anchors."""
-    idf, unseen, units = licenses.vectors(licenses.TEMPLATES)
-    terms = ", ".join(f"('{t}', {x!r})" for t, x in sorted(idf.items()))
-    weights = ", ".join(f"({i}, '{t}', {x!r})" for i, v in enumerate(units) for t, x in sorted(v.items()))
-    names = ", ".join(f"({i}, '{n}')" for i, (n, _) in enumerate(licenses.TEMPLATES))
-    runs = " || ".join(f"CASE WHEN len(l) > {n // 2} THEN list_transform(range(1, greatest(1, len(l) - {n // 2}) + 1, {n // 2}), lambda i: array_to_string(l[i : i + {n - 1}], chr(10))) ELSE [] END" for n in licenses.RUNS)
+    """The templates' weights are made here anew; every ancestor directory is tried."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = lambda x: "[" + ", ".join(map(quoted, x)) + "]::VARCHAR[]"
+    rows = ", ".join(f"({i}, {quoted(x.name)}, {quoted(x.text)}, {listed(x.must)}, {listed(x.never)})" for i, x in enumerate(licenses.TEMPLATES))
+    own = licenses.anchors(licenses.vectors(licenses.TEMPLATES)[2], licenses.LEAST)
+    anchor = ", ".join(f"({i}, {quoted(a)})" for i, x in enumerate(own) for a in x)
     return f"""
-WITH idf AS (SELECT * FROM (VALUES {terms}) v(term, idf)), wt AS (SELECT * FROM (VALUES {weights}) v(t, term, w)), names AS (SELECT * FROM (VALUES {names}) v(t, name)),
-d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, concat_ws('/', source, lang) AS dir, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-p AS (SELECT doc_id, [text] || l || {runs} AS parts FROM d),
-b AS (SELECT doc_id, unnest(range(0, len(parts))) AS block, unnest(parts) AS part FROM p),
-k AS (SELECT doc_id, block, term, count(*) AS tf FROM (SELECT doc_id, block, unnest(regexp_extract_all(lower(part), '{licenses.TERM}')) AS term FROM b) GROUP BY ALL),
-x AS (SELECT doc_id, block, k.term, tf * coalesce(idf, {unseen!r})::DOUBLE AS x FROM k LEFT JOIN idf USING (term)),
-n AS (SELECT doc_id, block, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
-c AS (SELECT doc_id, block, t, round(sum(x * w::DOUBLE) / any_value(norm), 6) AS score FROM x JOIN wt USING (term) JOIN n USING (doc_id, block) GROUP BY doc_id, block, t),
-o AS (SELECT doc_id, name AS own, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, t, block) AS r FROM c WHERE score >= {licenses.LEAST}) JOIN names USING (t) WHERE r = 1),
-f AS (SELECT d.doc_id, d.path, d.dir, own, o.score, (SELECT max(score) FROM c WHERE c.doc_id = d.doc_id AND block = 0) AS whole FROM d LEFT JOIN o USING (doc_id)),
-files AS (SELECT dir, path, own, score FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) AS r FROM f WHERE own IS NOT NULL AND whole >= {licenses.WHOLE}) WHERE r = 1)
-SELECT f.doc_id, f.path, coalesce(f.own, s.own, 'none') AS license, CASE WHEN f.own IS NOT NULL THEN 'own' WHEN s.own IS NOT NULL THEN 'inherited' ELSE 'none' END AS method,
-       CASE WHEN f.own IS NOT NULL THEN f.score ELSE coalesce(s.score, 0.0)::DOUBLE END AS score, CASE WHEN f.own IS NULL THEN s.path END AS licence_path FROM f LEFT JOIN files s USING (dir)"""
+WITH tpl AS (SELECT *, regexp_extract_all(lower(body), '{licenses.TERM}') AS w FROM (VALUES {rows}) v(t, name, body, must, never)),
+tw AS (SELECT t, w[i] AS term, i - 1 AS o, len(w) AS k FROM (SELECT t, w, unnest(range(1, len(w) + 1)) AS i FROM tpl)),
+df AS (SELECT term, count(DISTINCT t) AS df FROM tw GROUP BY term),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM tpl)) / (1 + df)) + 1 AS idf FROM df),
+raw AS (SELECT t, term, count(*) * any_value(idf) AS x FROM tw JOIN idf USING (term) GROUP BY t, term),
+wt AS (SELECT t, term, x / sqrt(sum(x * x) OVER (PARTITION BY t)) AS w FROM raw),
+place AS (SELECT tw.* FROM tw JOIN (VALUES {anchor}) a(t, term) ON tw.t = a.t AND tw.term = a.term),
+p AS (SELECT doc_id, text, ['tree', (doc_id // 1000)::VARCHAR, (doc_id // 100)::VARCHAR, (doc_id // 10)::VARCHAR][1 : CASE WHEN doc_id % 1000 = 0 THEN 2 WHEN doc_id % 100 = 0 THEN 3 ELSE 4 END] AS dirs,
+      CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS base FROM documents),
+d AS (SELECT doc_id, dirs, base, array_to_string(dirs, '/') AS dir, array_to_string(dirs, '/') || '/' || base AS path, regexp_extract_all(lower(coalesce(text, '')), '{licenses.TERM}') AS w FROM p),
+h AS (SELECT doc_id, w[i] AS term, i - 1 AS i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE w[i] IN (SELECT term FROM place)),
+c AS (SELECT DISTINCT doc_id, t, greatest(i - o, 0) AS start, least(i - o, 0) + k AS k FROM h JOIN place USING (term)),
+b AS (SELECT c.doc_id, c.t, c.start, d.w[c.start + 1 : c.start + c.k] AS w FROM c JOIN d USING (doc_id) UNION ALL SELECT DISTINCT c.doc_id, c.t, -1, d.w FROM c JOIN d USING (doc_id)),
+f AS (SELECT b.* FROM b JOIN tpl USING (t) WHERE list_has_all(b.w, must) AND NOT list_has_any(b.w, never)),
+tf AS (SELECT doc_id, t, start, term, count(*) AS tf FROM (SELECT doc_id, t, start, unnest(w) AS term FROM f) GROUP BY ALL),
+x AS (SELECT tf.doc_id, tf.t, tf.start, tf * coalesce(idf, ln(1 + (SELECT count(*) FROM tpl)) + 1) AS x, coalesce(wt.w, 0.0)::DOUBLE AS w FROM tf LEFT JOIN idf USING (term) LEFT JOIN wt ON wt.t = tf.t AND wt.term = tf.term),
+s AS (SELECT doc_id, t, start, round(sum(x * w) / sqrt(sum(x * x)), 6) AS score FROM x GROUP BY ALL),
+o AS (SELECT doc_id, name AS own, score, whole FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, t, start) AS r, max(CASE WHEN start < 0 THEN score END) OVER (PARTITION BY doc_id) AS whole FROM s WHERE score >= {licenses.LEAST}) JOIN tpl USING (t) WHERE r = 1),
+e AS (SELECT d.doc_id, d.dirs, d.dir, d.path, o.own, o.score, o.own IS NOT NULL AND (coalesce(o.whole, 0) >= {licenses.WHOLE} OR d.base = 'LICENSE') AS is_file FROM d LEFT JOIN o USING (doc_id)),
+files AS (SELECT dir, path, own, score FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) AS r FROM e WHERE is_file) WHERE r = 1),
+up AS (SELECT doc_id, n, array_to_string(dirs[1 : n], '/') AS dir FROM (SELECT doc_id, dirs, unnest(range(1, len(dirs) + 1)) AS n FROM e WHERE own IS NULL)),
+near AS (SELECT * FROM (SELECT up.doc_id, files.path, files.own, files.score, row_number() OVER (PARTITION BY up.doc_id ORDER BY n DESC) AS r FROM up JOIN files USING (dir)) WHERE r = 1)
+SELECT e.doc_id, e.path, coalesce(e.own, near.own, 'none') AS license, CASE WHEN e.own IS NOT NULL THEN 'own' WHEN near.own IS NOT NULL THEN 'inherited' ELSE 'none' END AS method,
+       CASE WHEN e.own IS NOT NULL THEN e.score ELSE coalesce(near.score, 0.0)::DOUBLE END AS score, near.path AS licence_path FROM e LEFT JOIN near USING (doc_id)"""
 
 
 SQL = {"op4_license_scan": _licences(), "op5_quality_rules": _quality(), "op8_minhash_near_dedup": NEAR, "op9_warc_bundles": WARC}

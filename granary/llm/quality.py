@@ -3,12 +3,19 @@
 The sketch is a table of counts over log-linear buckets (the leading PRECISION bits
 of an integer measure), so two sketches merge by adding counts, a hot group is
 combined before the shuffle, and a quantile is off by a factor of 2**-(PRECISION-1)
-at most. Fences are read from the sketch of (language, source), or of the language,
-or of everything, whichever first has `least` documents.
+at most. A measure's fence lies beyond a quantile of the group, its level, by `reach`
+times the distance of that quantile from the median, so the group's own spread sets
+it and no number is added: where nine of ten documents have no symbols, symbols are
+unusual; where they are usual, the fence moves out. A level of 0.8 stays put until a
+fifth of the group is junk.
+Fences of a group of n documents are drawn towards those of its language, and these
+towards those of all, with the weight of WEIGHT documents: no size switches anything.
 
 Edges: null text is empty, so it has no words and fails the base rule; null
 language or source is a group of its own; repeated rows count as often as they
-occur; an empty table gives an empty table; extra columns are carried or ignored.
+occur, and equal measures (ties) share a verdict; a very long text is one row of
+counts like others; an empty table gives an empty table; extra columns, whatever
+their names, are carried (keep_good) or ignored (quality).
 """
 
 from __future__ import annotations
@@ -27,16 +34,16 @@ from granary.llm.storage import Scratch, fresh
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 PRECISION = 8
-#: measure: (numerator, denominator, scale, both sides, least distance of a fence from the quartile).
+#: measure: (numerator, denominator, scale, both sides, level in thousandths, reach).
+#: Repeats are rare and come in clumps, so most documents have none and only the far tail has a spread.
 MEASURES = {
-    "symbols": ("n_symbols", "n_words", 1000, False, 100),
-    "word_length": ("word_chars", "n_words", 100, True, 100),
-    "upper": ("n_upper", "word_chars", 1000, False, 150),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, False, 400),
-    "repeats": ("n_repeat_words", "n_words", 1000, False, 350),
+    "symbols": ("n_symbols", "n_words", 1000, False, 800, 6),
+    "word_length": ("word_chars", "n_words", 100, True, 800, 6),
+    "upper": ("n_upper", "word_chars", 1000, False, 800, 6),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, False, 990, 2),
+    "repeats": ("n_repeat_words", "n_words", 1000, False, 990, 2),
 }
-REACH = 3
-LEAST = 100
+WEIGHT = 100
 
 _IS_SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS.encode(), np.uint8))
 
@@ -111,14 +118,15 @@ def _bucket(x: Column) -> Column:
     return (drop.cast("long") * (1 << PRECISION) + F.call_function("shiftright", x, drop)).cast("long")
 
 
-def _value(bucket: Column) -> Column:
+def _value(bucket: Column, top: bool = False) -> Column:
+    """The least, or the greatest, number of a bucket."""
     drop = F.floor(bucket / (1 << PRECISION)).cast("int")
-    return F.call_function("shiftleft", F.pmod(bucket, F.lit(1 << PRECISION)), drop)
+    return F.call_function("shiftleft", F.pmod(bucket, F.lit(1 << PRECISION)) + int(top), drop) - int(top)
 
 
 def measured(c: str) -> list[Column]:
     """The MEASURES as whole numbers, from counts c."""
-    return [F.expr(f"({s} * {c}.{a}) div greatest({c}.{b}, 1)").alias(m) for m, (a, b, s, _, _) in MEASURES.items()]
+    return [F.expr(f"({m[2]} * {c}.{m[0]}) div greatest({c}.{m[1]}, 1)").alias(name) for name, m in MEASURES.items()]
 
 
 def sketch(measures: DataFrame) -> DataFrame:
@@ -127,47 +135,55 @@ def sketch(measures: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketches: DataFrame, by: list[str], reach: int = REACH) -> DataFrame:
-    """Lower and upper fence of each measure by group: quartiles spread by `reach` times their distance."""
+def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., measure, n, low, high): the group's own fences of each measure."""
     keys = [*by, "measure"]
     cells = sketches.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
     run = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumns({"seen": F.sum("n").over(run), "all": F.sum("n").over(Window.partitionBy(*keys))})
-    at = lambda q: F.min(F.when(F.col("seen") * 4 >= F.col("all") * q, _value(F.col("bucket"))))
-    least = F.element_at(F.array(*[F.lit(m[4]) for m in MEASURES.values()]), F.col("measure") + 1)
-    both = F.element_at(F.array(*[F.lit(m[3]) for m in MEASURES.values()]), F.col("measure") + 1)
-    out = cells.groupBy(*keys).agg(at(1).alias("q1"), at(3).alias("q3"), F.max("all").alias("n"))
-    room = F.greatest(reach * (F.col("q3") - F.col("q1")), least)
-    return out.select(*by, "measure", "n", F.when(both, F.col("q1") - room).otherwise(F.lit(-1)).alias("low"), (F.col("q3") + room).alias("high"))
-
-
-def _wide(rows: DataFrame, by: list[str], prefix: str) -> DataFrame:
-    """One row a group: arrays of fences in the order of MEASURES."""
-    pick = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("measure", c))), lambda x: x[c])
-    return rows.groupBy(*by).agg(F.max("n").alias(f"{prefix}_n"), pick("low").alias(f"{prefix}_low"), pick("high").alias(f"{prefix}_high"))
-
-
-def judged(rows: DataFrame, scratch: Scratch, lang: str, source: str, c: str = "counts", least: int = LEAST, verdict: str = "kept") -> DataFrame:
+    of = lambda k: F.element_at(F.array(*[F.lit(m[k]) for m in MEASURES.values()]), F.col("measure") + 1)
+    at = lambda level: F.min(F.when(F.col("seen") * 1000 >= F.col("all") * level, F.col("bucket")))
+    out = cells.groupBy(*keys).agg(at(1000 - of(4)).alias("a"), at(F.lit(500)).alias("m"), at(of(4)).alias("b"), F.max("all").alias("n"))
+    # what shares a bucket with the quantile is within the fence
+    out = out.select(*keys, "n", *[_value(F.col(c)).alias(c) for c in "amb"], _value(F.col("b"), True).alias("top"))
+    low = F.when(of(3), F.col("a") - of(5) * (F.col("m") - F.col("a"))).otherwise(F.lit(-1))
+    high = F.col("top") + of(5) * (F.col("b") - F.col("m"))
+    return out.select(*by, "measure", "n", low.cast("double").alias("low"), high.cast("double").alias("high"))
+
+
+def drawn(own: DataFrame, wide: DataFrame, by: list[str]) -> DataFrame:
+    """own with its fences drawn towards those of the wider group (by..., measure) that holds it."""
+    wide = wide.select(*[F.col(c).alias(f"_{c}") for c in (*by, "measure")], F.col("low").alias("_low"), F.col("high").alias("_high"))
+    same = F.col("measure") == F.col("_measure")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    mean = lambda side: ((F.col("n") * F.col(side) + F.lit(float(WEIGHT)) * F.col(f"_{side}")) / (F.col("n") + F.lit(float(WEIGHT)))).alias(side)
+    return own.join(wide, same).select(*[c for c in own.columns if c not in ("low", "high")], mean("low"), mean("high"))
+
+
+def thresholds(cells: DataFrame, scratch: Scratch) -> DataFrame:
+    """(lang, source, low, high): arrays of the fences of each group, in the order of MEASURES."""
+    whole = fences(cells, [])
+    wide = scratch.save(drawn(fences(cells, ["lang"]), whole, []), "wide")
+    own = drawn(fences(cells, ["lang", "source"]), wide, ["lang"])
+    pick = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("measure", c))), lambda x: x[c]).alias(c)
+    return scratch.save(own.groupBy("lang", "source").agg(pick("low"), pick("high")), "own")
+
+
+def judged(rows: DataFrame, scratch: Scratch, lang: str, source: str, c: str = "counts", verdict: str = "kept") -> DataFrame:
     """rows, which have counts c, with a boolean: the base rule holds and every measure is within its fences.
 
     Only rows that pass the base rule enter the sketches: what fails it has no say in what is usual.
     """
     good = rows.where(~base_failed(c)).select(F.col(lang).alias("lang"), F.col(source).alias("source"), *measured(c))
-    cells = scratch.save(sketch(good), "sketch")
-    local = scratch.save(_wide(fences(cells, ["lang", "source"]), ["lang", "source"], "own"), "own").withColumnsRenamed({"lang": "own_lang", "source": "own_source"})
-    wider = scratch.save(_wide(fences(cells, ["lang"]), ["lang"], "wide"), "wide").withColumnRenamed("lang", "wide_lang")
-    whole = scratch.save(_wide(fences(cells, []), [], "all"), "all")
-    # one row at most: a global aggregate; the two others are broadcast only while their files are small enough
-    fields = rows.columns
-    out = rows.alias("r").join(local, F.col(f"r.{lang}").eqNullSafe(F.col("own_lang")) & F.col(f"r.{source}").eqNullSafe(F.col("own_source")), "left")
-    out = out.join(wider, F.col(f"r.{lang}").eqNullSafe(F.col("wide_lang")), "left").join(F.broadcast(whole), F.lit(True), "left")
-    pick = lambda side: F.when(F.col("own_n") >= least, F.col(f"own_{side}")).when(F.col("wide_n") >= least, F.col(f"wide_{side}")).otherwise(F.col(f"all_{side}"))
-    low, high = pick("low"), pick("high")
-    inside = [x.between(F.get(low, F.lit(i)), F.get(high, F.lit(i))) for i, x in enumerate(measured(f"r.{c}"))]
-    fine = inside[0]
-    for x in inside[1:]:
-        fine = fine & x
-    return out.select(*[F.col(f"r.`{f}`") for f in fields], (~base_failed(f"r.{c}") & F.coalesce(fine, F.lit(True))).alias(verdict))
+    limits = thresholds(scratch.save(sketch(good), "sketch"), scratch)
+    l, s, low, high = (fresh(rows, f"fence_{n}") for n in ("lang", "source", "low", "high"))
+    # every row that passes the base rule has a group there; broadcast only while Spark finds it small
+    out = rows.join(limits.toDF(l, s, low, high), F.col(lang).eqNullSafe(F.col(l)) & F.col(source).eqNullSafe(F.col(s)), "left")
+    kept = ~base_failed(c)
+    for i, x in enumerate(measured(c)):
+        kept = kept & F.coalesce(x.between(F.get(low, F.lit(i)), F.get(high, F.lit(i))), F.lit(True))
+    return out.select(*[F.col(f"`{f}`") for f in rows.columns], kept.alias(verdict))
 
 
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

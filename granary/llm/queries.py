@@ -30,8 +30,13 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's path is source/lang/doc_id, so sources and their languages are the directories."""
-    docs = _table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    """Documents have no paths: each takes its place in a tree by its number. One in ten is named LICENSE,
+    and of these one in ten, and one in a hundred, stands one and two directories higher."""
+    n = F.col("doc_id")
+    up = F.when(n % 1000 == 0, 1).when(n % 100 == 0, 2).otherwise(3)
+    parts = F.slice(F.array(*[F.floor(n / d).cast("string") for d in (1000, 100, 10)]), 1, up)
+    name = F.when(n % 10 == 0, F.lit("LICENSE")).otherwise(F.concat(n.cast("string"), F.lit(".txt")))
+    docs = _table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", F.lit("tree"), parts, name))
     return licenses.scan(docs, keep=["doc_id"])
 
 
@@ -53,8 +58,9 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bundles, _ = warc.write(_table(spark, sf_dir, "pages"))
-    return warc.read(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Each page's record is read back at the place that the index gives for it."""
+    bundles, index = warc.write(_table(spark, sf_dir, "pages"))
+    return warc.lookup(bundles, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
