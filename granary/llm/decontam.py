@@ -19,7 +19,9 @@ Edges: words are runs of letters, digits and non-ASCII characters, lower-cased,
 case and punctuation don't hide a leak. A null or empty text, and an item of
 fewer than SHINGLE words, match nothing; a document shorter than an item is one
 window. Items with equal text all leak. Rows are independent, so repeated rows give
-repeated results. Ties between windows go to the first. Empty tables give empty ones.
+repeated results. Ties between windows go to the first. Very long texts are looked at in
+stretches of STRETCH words. Other columns, whatever their names, are carried
+(keep_clean) or ignored (find). Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -40,6 +42,9 @@ LEAST = 0.8
 RADIUS = 23
 BLOCKS = 8
 BLOCK_BYTES = 16 << 20
+#: Words, or pairs of a window and an item, that are looked at together: they bound the memory of a text of any length.
+STRETCH = 1 << 14
+PAIRS = 1 << 24
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _FILTER_BITS = 20
 
@@ -103,13 +108,17 @@ class Index:
 
     def candidates(self, prints: np.ndarray, size: int) -> list[tuple[int, int]]:
         """(window, item) pairs within RADIUS, found by the blocks."""
-        items, tables = self.of_size[size], self.tables[size]
-        found = tables[0][prints[:, 0]].copy()
-        for b in range(1, BLOCKS):
-            found |= tables[b][prints[:, b]]
-        w, i = np.nonzero(found)
-        close = _POPCOUNT[prints[w] ^ self.prints[items[i]]].sum(axis=1) <= RADIUS
-        return list(zip(w[close].tolist(), items[i[close]].tolist()))
+        items, tables, out = self.of_size[size], self.tables[size], []
+        step = max(1, PAIRS // len(items))
+        for at in range(0, len(prints), step):
+            part = prints[at : at + step]
+            found = tables[0][part[:, 0]].copy()
+            for b in range(1, BLOCKS):
+                found |= tables[b][part[:, b]]
+            w, i = np.nonzero(found)
+            close = _POPCOUNT[part[w] ^ self.prints[items[i]]].sum(axis=1) <= RADIUS
+            out += zip((w[close] + at).tolist(), items[i[close]].tolist())
+        return out
 
     def leaks(self, column: pa.Array) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, words) of the best window of each text and item that reach LEAST."""
@@ -135,9 +144,9 @@ class Index:
             reach = long - SHINGLE
             begin, end = np.maximum(own - reach, low), np.minimum(own, high - long)
             starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(begin, end)]))
-            shift = int(starts[0])
-            part = sh[shift : int(starts[-1]) + reach + 1]
-            prints = fingerprints(part, starts - shift, reach + 1)
+            # stretch by stretch: only what windows cover is fingerprinted, however far apart they lie
+            cuts = np.flatnonzero((np.diff(starts) > reach) | (np.diff(starts // STRETCH) > 0)) + 1
+            prints = np.concatenate([fingerprints(sh[x[0] : x[-1] + reach + 1], x - x[0], reach + 1) for x in np.split(starts, cuts)])
             seen: dict[int, Counter] = {}
             for w, item in self.candidates(prints, s):
                 if w not in seen:

@@ -16,7 +16,8 @@ placements of its length.
 
 Edges: a null text is empty, and an empty document is the closing id alone. Each
 row is a document of its own, repeated ids and rows too. Ties in length go by
-doc_id and piece. An empty table gives an empty table.
+doc_id and piece. A very long text is encoded whole. doc_id may have any type. An
+empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from granary.llm.storage import Scratch
 
 CAPACITY = 2048
 END_ID = 0
-RANK_GROUP = 200_000
+#: Pieces of one length that one task ranks; a length with more is dealt to as many groups as that takes.
+RANK_GROUP = 1024
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -55,26 +57,24 @@ def pieces(docs: DataFrame, capacity: int, path: str, with_ids: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = tokens.load(path)
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
+            rows = []
             for i, text in enumerate(batch.column(1)):
                 own = _ids(encoder, text.as_py())
                 for k, (s, n) in enumerate(cut(len(own), capacity)):
                     part = own[s : s + n]
-                    rows.append((ids[i], k, s, n, zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))
+                    rows.append((i, k, s, n, zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))
                 if len(rows) >= 4096:
-                    yield _batch(rows)
+                    yield _batch(batch.column(0), rows)
                     rows = []
-            yield _batch(rows)
+            yield _batch(batch.column(0), rows)
 
-    kind = docs.schema["doc_id"].dataType
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
 
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    def _batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows)) if rows else [()] * 6
-        first = pa.array(columns[0], pa.string() if kind.typeName() == "string" else pa.int64() if kind.typeName() == "long" else pa.int32())
-        return pa.RecordBatch.from_arrays([first, *[pa.array(c, t) for c, t in zip(columns[1 : len(names)], types)]], names=names)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(columns[0], pa.int64())), *[pa.array(c, t) for c, t in zip(columns[1 : len(names)], types)]], names=names)
 
-    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def plan(sizes: dict[int, int], capacity: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -118,9 +118,12 @@ def plan(sizes: dict[int, int], capacity: int) -> dict[int, tuple[np.ndarray, np
     return out
 
 
-def ranked(rows: DataFrame, groups: int) -> DataFrame:
-    """rows with `rank`, from 0, among rows of their length."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+def ranked(rows: DataFrame, sizes: dict[int, int], group: int = RANK_GROUP) -> DataFrame:
+    """rows with `rank`, from 0, among rows of their length. A length's rows are ranked in groups of about `group`."""
+    spark = rows.sparkSession
+    # a row for each length that is more than one group: no more than the capacity
+    salts = spark.createDataFrame([(n, -(-count // group)) for n, count in sizes.items() if count > group], "at long, groups long")
+    salted = rows.join(F.broadcast(salts), F.col("length") == F.col("at"), "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce("groups", F.lit(1).cast("long"))).cast("int")).drop("at", "groups")
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -148,7 +151,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked(rows, max(1, -(-sum(sizes.values()) // RANK_GROUP))).mapInArrow(place, schema)
+    return ranked(rows, sizes).mapInArrow(place, schema)
 
 
 def sequences(docs: DataFrame, packed: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
