@@ -13,9 +13,11 @@ Of pages with equal payloads of at least `least` bytes, that with the largest pa
 id is a response; the others are revisits that name it.
 
 Edges: a null payload is empty; a null url is about:blank; a null page id is the
-smallest and is written as `null`. Rows that repeat page id and payload get equal
-records: with the largest id, all of them are responses. An empty table gives empty
-tables. Other columns are ignored.
+smallest and is left out of its record's head; ids and urls are percent-encoded there, so
+no line break of theirs ends a head. Rows that repeat page id and payload (ties) get equal
+records: with the largest id, all of them are responses. A very long payload is a frame
+and a bundle of its own. An empty table gives empty tables. Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +68,12 @@ def record(page: object, url: str | None, payload: bytes, refers_to: object = No
         ("WARC-Date", date),
         ("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=%-._~") if url else "about:blank"),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
-        ("X-Page-Id", "null" if page is None else str(page)),
+        *([] if page is None else [("X-Page-Id", quote(str(page), safe=" "))]),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
     if revisit:
-        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-Id", str(refers_to))]
+        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-Id", quote(str(refers_to), safe=" "))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -106,8 +108,9 @@ def seek_table(content: bytes) -> np.ndarray:
     return np.column_stack([np.cumsum(sizes[:, 0]) - sizes[:, 0], sizes])
 
 
-def frame(content: bytes, i: int) -> bytes:
-    first, size, full = (int(x) for x in seek_table(content)[i])
+def frame(content: bytes, i: int, table: np.ndarray | None = None) -> bytes:
+    """The contents of frame i; table: the archive's seek table, if it is read already."""
+    first, size, full = (int(x) for x in (seek_table(content) if table is None else table)[i])
     return zstandard.ZstdDecompressor().decompress(content[first : first + size], max_output_size=full)
 
 
@@ -178,6 +181,25 @@ def write(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: str =
 _INDEX = pa.list_(pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]))
 
 
+def _row(head: dict[str, str], block: bytes) -> tuple:
+    http, payload = block.split(b"\r\n\r\n", 1)
+    size = int(dict(x.split(b": ", 1) for x in http.split(b"\r\n")[1:])[b"Content-Length"])
+    digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
+    if kind == "response" and (len(payload) != size or base32_sha1(payload) != digest):
+        raise ValueError(f"{head['WARC-Record-ID']}: the payload is not the one that was written")
+    page, refers = (None if head.get(k) is None else unquote(head[k]) for k in ("X-Page-Id", "X-Refers-To-Page-Id"))
+    return page, size, digest, kind, refers, head["WARC-Target-URI"], head["WARC-Record-ID"], payload if kind == "response" else None
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(_READ)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), *[pa.string()] * 5, pa.binary()))], names=_READ)
+
+
+def _typed(out: DataFrame, page_type: str) -> DataFrame:
+    return out.select(F.col("page_id").cast(page_type), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(page_type), "url", "record_id", "payload")
+
+
 def read(bundles: DataFrame, page_type: str = "long") -> DataFrame:
     """A row for each record of the archives, from their bytes alone. `payload` is null for revisits."""
 
@@ -185,22 +207,44 @@ def read(bundles: DataFrame, page_type: str = "long") -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 raw = content.as_py()
-                for i in range(len(seek_table(raw))):
-                    data, at, rows = frame(raw, i), 0, []
+                table = seek_table(raw)
+                for i in range(len(table)):
+                    data, at, rows = frame(raw, i, table), 0, []
                     while at < len(data):
                         head, block, at = parse(data, at)
-                        http, payload = block.split(b"\r\n\r\n", 1)
-                        size = int(dict(x.split(b": ", 1) for x in http.split(b"\r\n")[1:])[b"Content-Length"])
-                        digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
-                        if kind == "response" and (len(payload) != size or base32_sha1(payload) != digest):
-                            raise ValueError(f"{head['WARC-Record-ID']}: the payload is not the one that was written")
-                        rows.append((head["X-Page-Id"], size, digest, kind, head.get("X-Refers-To-Page-Id"), head["WARC-Target-URI"], head["WARC-Record-ID"], payload if kind == "response" else None))
-                    columns = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), *[pa.string()] * 5, pa.binary()))], names=_READ)
+                        rows.append(_row(head, block))
+                    yield _batch(rows)
+
+    return _typed(bundles.select("content").mapInArrow(run, _READ_SCHEMA), page_type)
 
-    out = bundles.select("content").mapInArrow(run, ", ".join(f"{n} {'long' if n == 'payload_bytes' else 'binary' if n == 'payload' else 'string'}" for n in _READ))
-    page = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(page_type).alias(c)
-    return out.select(page("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to"), "url", "record_id", "payload")
+
+def lookup(bundles: DataFrame, index: DataFrame, page_type: str = "long") -> DataFrame:
+    """A row for each row of index (record_id, bundle, frame, offset): its record, read at its place.
+
+    Of an archive only the frames that the index names are unpacked, each once. An
+    archive's entries meet it in one row: they are as many as it has records.
+    """
+    wanted = index.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("frame", "offset", "record_id"))).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, at in zip(batch.column(0), batch.column(1)):
+                raw = content.as_py()
+                table, last, data, rows = seek_table(raw), None, b"", []
+                for own in at.as_py():
+                    if own["frame"] != last:
+                        if rows:
+                            yield _batch(rows)
+                        last, data, rows = own["frame"], frame(raw, own["frame"], table), []
+                    head, block, _ = parse(data, own["offset"])
+                    if head["WARC-Record-ID"] != own["record_id"]:
+                        raise ValueError(f"{own['record_id']} is not where the index says")
+                    rows.append(_row(head, block))
+                yield _batch(rows)
+
+    # archives of equal bytes have one name: one of them is read for all their entries' repeats
+    return _typed(bundles.dropDuplicates(["bundle"]).join(wanted, "bundle").select("content", "at").mapInArrow(run, _READ_SCHEMA), page_type)
 
 
 _READ = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "payload"]
+_READ_SCHEMA = ", ".join(f"{n} {'long' if n == 'payload_bytes' else 'binary' if n == 'payload' else 'string'}" for n in _READ)
