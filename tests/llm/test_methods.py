@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from granary.llm import decontam, langid, licenses, lmscore, packing, quality, tokencount, tokens, warc
 
+from granary.llm.storage import Scratch
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -80,6 +82,22 @@ def test_cut(n, parts):
     assert packing.cut(n, 2048) == parts
 
 
+def test_ranks_in_groups(spark):
+    rows = spark.createDataFrame([(i, 0, 5 if i % 3 else 7) for i in range(300)] + [(999, 0, 9)], "doc_id long, piece int, length long")
+    sizes = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
+    by: dict = {}
+    for r in packing.ranked(rows, sizes, 20).collect():
+        by.setdefault(r.length, []).append(r["rank"])
+    assert {n: sorted(x) for n, x in by.items()} == {n: list(range(c)) for n, c in sizes.items()}
+
+
+@pytest.mark.parametrize("kind", ["decimal(10,2)", "smallint", "date", "string"])
+def test_ids_of_any_type(documents, kind):
+    docs = documents([(1, "a b"), (2, None)]).withColumn("doc_id", F.date_add(F.lit("2024-01-01"), F.col("doc_id").cast("int")) if kind == "date" else F.col("doc_id").cast(kind))
+    got = packing.pack(docs, capacity=16)
+    assert got.schema["doc_id"].dataType.simpleString() == kind and {r.doc_id for r in got.collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(7)
     for _ in range(60):
@@ -225,17 +243,27 @@ def test_licences(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
-def test_headers_over_several_lines(spark):
-    header = licenses.TEMPLATES[1][1].replace(", ", ",\n# ").replace(". ", ".\n# ")
-    files = spark.createDataFrame([("x.py", "#!/usr/bin/python\n" + header + "\n" + "code = 1\n" * 200)], "path string, text string")
-    assert licenses.scan(files).first().license == "Apache-2.0"
+def test_headers_at_every_place(spark, prose):
+    """Between other lines, in comments, in the midst of a long line."""
+    header = {x.name: x.text for x in licenses.TEMPLATES if "free software" in x.text or "you may not use this file" in x.text}
+    rows = [(f"{name}/{n}.py", name, "\n".join([prose(i, 8) for i in range(n)] + ["# " + x for x in text.replace(", ", ",\n").split("\n")] + [prose(i, 8) for i in range(9)])) for name, text in header.items() for n in range(5)]
+    rows += [(f"{name}/long", name, prose(3, 120) + " " + text + " " + prose(4, 90)) for name, text in header.items()]
+    rows += [("spdx.c", "MPL-2.0", "// SPDX-License-Identifier: MPL-2.0\nint x;"), ("two", "BSD-2-Clause", "Released under the BSD 2-Clause License."), ("huge", "MIT", "word " * 400_000 + "Released under the MIT License. " + "word " * 400_000)]
+    found = {r.path: r.license for r in licenses.scan(spark.createDataFrame(rows, "path string, want string, text string")).collect()}
+    assert found == {p: want for p, want, _ in rows} and len(header) == 6
+
+
+def test_siblings_are_told_apart(spark):
+    rows = [(x.name, x.text) for x in licenses.TEMPLATES if len(licenses.terms(x.text)) > 20]
+    rows += [("none", "This text is about the GNU project, and about software that is free."), ("none", "Licensed under CC BY-ND 4.0.")]
+    found = licenses.scan(spark.createDataFrame([(f"{i}/f", n, t) for i, (n, t) in enumerate(rows)], "path string, want string, text string"), keep=["want"]).collect()
+    assert all(r.license == r.want for r in found), [tuple(r) for r in found if r.license != r.want]
 
 
 def test_anchors_lose_nothing():
     _, _, units = licenses.vectors(licenses.TEMPLATES)
-    found = licenses.anchors(units, licenses.LEAST)
-    for v in units:
-        assert sum(x * x for t, x in v.items() if not any(a in t for a in found)) < licenses.LEAST**2
+    for v, found in zip(units, licenses.anchors(units, licenses.LEAST)):
+        assert found and sum(x * x for t, x in v.items() if t not in found) < licenses.LEAST**2
 
 
 # ---- quality
@@ -272,7 +300,29 @@ def test_sketches_merge(spark):
     parts = quality.sketch(rows.where("symbols < 300")).unionByName(quality.sketch(rows.where("symbols >= 300")))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, quality.fences(parts, []).collect()))
     high = {r.measure: r.high for r in whole.collect()}[0]
-    assert abs(high - (750 + 3 * 500)) <= 3 * 16
+    assert abs(high - (800 + 6 * 300)) <= 7 * 16
+
+
+def test_fences_follow_the_spread(spark):
+    """Two groups with one median: the wider one's fence lies farther out, by its spread alone."""
+    rows = [("en", name, *([500 + step * (i - 500) // 1000] * 5)) for name, step in (("narrow", 40), ("wide", 400)) for i in range(1001)]
+    cells = quality.sketch(spark.createDataFrame(rows, ["lang", "source", *quality.MEASURES]))
+    own = {r.source: r for r in quality.fences(cells, ["lang", "source"]).where("measure = 1").collect()}
+    assert own["narrow"].high < 600 < 900 < own["wide"].high and own["wide"].low < 100 < 400 < own["narrow"].low
+    # nothing is added where there is no spread
+    still = quality.sketch(spark.createDataFrame([("en", "s", *([7] * 5))] * 50, ["lang", "source", *quality.MEASURES]))
+    assert {(r.low, r.high) for r in quality.fences(still, []).where("measure = 1").collect()} == {(7.0, 7.0)}
+
+
+def test_small_groups_are_drawn_to_their_language(spark):
+    """Smoothly: each document more moves the fence on."""
+    base = [("en", "large", *([i % 100] * 5)) for i in range(5000)]
+    high = []
+    for n in (1, 10, 100, 1000):
+        rows = base + [("en", "small", *([1000 + i % 100] * 5)) for i in range(n)]
+        found = quality.thresholds(quality.sketch(spark.createDataFrame(rows, ["lang", "source", *quality.MEASURES])), Scratch(spark, "t"))
+        high.append({r.source: r.high[0] for r in found.collect()}["small"])
+    assert high == sorted(high) and high[0] < 400 and high[-1] > 900
 
 
 # ---- language models
@@ -297,12 +347,14 @@ def test_losses_against_plain_counting(spark, documents, prose):
         return uni, con, bi
 
     want = []
+    tokens_ = [sum(model(side, None)[0].values()) for side in (0, 1)]
     for n, (i, b) in enumerate(bags):
         losses = []
         for side in (0, 1):
             uni, con, bi = model(side, n)
-            total = sum(uni.values()) + vocab + 1
-            losses.append(np.mean([-np.log((bi[p, w] + lmscore.MASS * (uni[w] + 1) / total) / (con[p] + lmscore.MASS)) for p, w in zip(["<s>", *b], b)]) if b else None)
+            u = min(1, tokens_[1 - side] / tokens_[side])
+            total = u * sum(uni.values()) + vocab + 1
+            losses.append(np.mean([-np.log((u * bi[p, w] + lmscore.MASS * (u * uni[w] + 1) / total) / (u * con[p] + lmscore.MASS)) for p, w in zip(["<s>", *b], b)]) if b else None)
         want.append((i, len(b), *losses))
     for r, w in zip(got, sorted(want, key=lambda x: x[:2])):
         assert (r.doc_id, r.n_tokens) == w[:2]
@@ -313,6 +365,14 @@ def test_losses_against_plain_counting(spark, documents, prose):
     assert lmscore.score(docs, targets.limit(0)).count() == len(rows)
 
 
+def test_models_grow_with_the_corpus(spark):
+    assert [lmscore.sized(n, 8, 16, 1024) for n in (0, 100, 129, 1000, 10**9)] == [16, 16, 32, 128, 1024]
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate([9, 9, 5, 5, 5, 1000, 1001, 1])], "word long, n long")
+    took = lambda size: sorted(r.word for r in lmscore.vocabulary(counts, size).collect())
+    # 1000 and 1001 have equal leading bits; words of one frequency come together
+    assert [took(n) for n in (0, 1, 2, 3, 4, 6, 7, 9)] == [[], [], [5, 6], [5, 6], [0, 1, 5, 6], [0, 1, 5, 6], [0, 1, 2, 3, 4, 5, 6], [*range(8)]]
+
+
 # ---- archives
 
 
@@ -337,6 +397,13 @@ def test_archives(spark):
             _, _, at = warc.parse(full, at)
         assert sum(warc.seek_table(content)[:, 2]) == len(full)
     assert len(files) > 1
+    by_place = lambda df: sorted(map(str, df.drop("payload").collect()))
+    assert by_place(warc.lookup(bundles, index)) == by_place(warc.read(bundles))
+    one = index.orderBy("record_id").limit(2)
+    assert {r.record_id for r in warc.lookup(bundles, one).collect()} == {r.record_id for r in one.collect()}
+    odd = spark.createDataFrame([("null", "u", "x"), ("a\r\nB: c", None, "y"), (None, None, "x"), ("é", None, "y")], "page_id string, url string, html string")
+    told = {(r.page_id, r.record_type, r.refers_to) for r in warc.lookup(*warc.write(odd), page_type="string").collect()}
+    assert told == {("null", "response", None), ("a\r\nB: c", "revisit", "é"), (None, "revisit", "null"), ("é", "response", None)}
     big, _ = warc.write(pages, least=100)
     assert warc.read(big).where("record_type = 'revisit'").count() == 0
     none, none_index = warc.write(pages.limit(0))
