@@ -47,6 +47,35 @@ def embed(docs: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarra
     return docs.withColumn(out, run(F.col(text)))
 
 
+def http_embedder(host: str, model: str, timeout: int = 30) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """A factory for `embed` that asks a server's /api/embeddings, a text a request; a failure is an error."""
+
+    def build() -> Callable[[list[str]], np.ndarray]:
+        import json
+        import urllib.request
+
+        def one(text: str) -> list[float]:
+            body = json.dumps({"model": model, "prompt": text}).encode()
+            with urllib.request.urlopen(urllib.request.Request(f"{host}/api/embeddings", body, {"Content-Type": "application/json"}), timeout=timeout) as r:
+                return json.load(r)["embedding"]
+
+        return lambda texts: np.array([one(t) for t in texts], np.float32)
+
+    return build
+
+
+def local_embedder(name: str = "BAAI/bge-small-en-v1.5", device: str = "cpu", offline: bool = False) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """A factory for `embed` with a sentence model, if its library is installed; loaded once in each worker."""
+
+    def build() -> Callable[[list[str]], np.ndarray]:
+        from sentence_transformers import SentenceTransformer
+
+        model = SentenceTransformer(name, device=device, local_files_only=offline)
+        return lambda texts: np.asarray(model.encode(texts, batch_size=len(texts), convert_to_numpy=True, normalize_embeddings=False, show_progress_bar=False), np.float32)
+
+    return build
+
+
 def normalized(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.withColumn(vector, l2_normalize(F.col(vector)))
 

@@ -180,6 +180,28 @@ def test_tables_and_embedder(spark, tmp_path):
     assert np.allclose([r.embedding for r in got], [[2 / 13**0.5, 3 / 13**0.5], [0, 1]])
 
 
+def test_http_embedder(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"embedding": [len(asked["prompt"]), 4 if asked["model"] == "m" else 0]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    got = vectors.embed(spark.createDataFrame([("abc",)], "text string"), vectors.http_embedder(f"http://127.0.0.1:{server.server_port}", "m")).first()
+    assert np.allclose(got.embedding, [0.6, 0.8])
+    server.shutdown()
+
+
 def test_rerank(spark):
     hits = spark.createDataFrame([(0, "a", "q", "x", 1), (0, "b", "q", "xxx", 2), (0, "c", "q", "xx", 3)], "qid int, id string, query string, text string, rank int")
     got = hybrid.rerank(hits, lambda: lambda pairs: [len(t) for _, t in pairs], 2).orderBy("rank").collect()
