@@ -39,6 +39,7 @@ from granary.llm.storage import Scratch
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 16 << 20
+PART_BYTES = 128 << 20
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 # Fixed values of the formats
@@ -224,6 +225,9 @@ def lookup(bundles: DataFrame, index: DataFrame, page_type: str = "long") -> Dat
     Of an archive only the frames that the index names are unpacked, each once. An
     archive's entries meet it in one row: they are as many as it has records.
     """
+    total = index.agg(F.sum("length")).first()[0] or 0
+    # archives meet their entries in portions of bounded bytes, however many there are
+    parts = max(int(bundles.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     wanted = index.groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("frame", "offset", "record_id"))).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +247,8 @@ def lookup(bundles: DataFrame, index: DataFrame, page_type: str = "long") -> Dat
                 yield _batch(rows)
 
     # archives of equal bytes have one name: one of them is read for all their entries' repeats
-    return _typed(bundles.dropDuplicates(["bundle"]).join(wanted, "bundle").select("content", "at").mapInArrow(run, _READ_SCHEMA), page_type)
+    met = bundles.repartition(parts, "bundle").dropDuplicates(["bundle"]).join(wanted.repartition(parts, "bundle"), "bundle")
+    return _typed(met.select("content", "at").mapInArrow(run, _READ_SCHEMA), page_type)
 
 
 _READ = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "payload"]
