@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import licenses, quality
+from granary.llm import langid, licenses, quality
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,9 +42,9 @@ rules AS (SELECT * FROM (VALUES {rules}) r(m, level, reach, two)),
 cells AS (SELECT lang, source, m, greatest(0, length(bin(v)) - {p}) * {1 << p} + (v >> greatest(0, length(bin(v)) - {p})::BIGINT) AS bucket FROM ({long})),{fences("own", "lang, source")},{fences("wide", "lang")},{fences("everything", "")},
 lang_ AS (SELECT wide.lang, m, {drawn("low", "wide", "everything")}, {drawn("high", "wide", "everything")} FROM wide JOIN everything USING (m)),
 last AS (SELECT own.lang, own.source, own.m, {drawn("low", "own", "lang_")}, {drawn("high", "own", "lang_")} FROM own JOIN lang_ ON own.m = lang_.m AND own.lang IS NOT DISTINCT FROM lang_.lang),
-v AS (SELECT doc_id, m, CASE m {" ".join(f"WHEN {i} THEN {m}" for i, m in enumerate(measures))} END AS v, lang, source FROM b, (SELECT unnest(range(0, {len(measures)})) AS m)),
-j AS (SELECT v.doc_id, bool_and(coalesce(v.v BETWEEN o.low AND o.high, true)) AS fine
-      FROM v LEFT JOIN last o ON o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source AND o.m = v.m GROUP BY v.doc_id)
+v AS (SELECT doc_id, m, CASE m {" ".join(f"WHEN {i} THEN {m}" for i, m in enumerate(measures))} END AS v, CASE m {" ".join(f"WHEN {i} THEN {m[0]}" for i, m in enumerate(measures.values()))} END AS top, CASE m {" ".join(f"WHEN {i} THEN {m[1]}" for i, m in enumerate(measures.values()))} END AS bottom, CASE m {" ".join(f"WHEN {i} THEN {m[2]}" for i, m in enumerate(measures.values()))} END::DOUBLE AS scale, lang, source FROM b, (SELECT unnest(range(0, {len(measures)})) AS m)),
+j AS (SELECT v.doc_id, bool_and(coalesce(v.v BETWEEN o.low AND o.high OR NOT two AND v.top <= o.high * v.bottom / v.scale + reach::DOUBLE * sqrt(o.high * v.bottom / v.scale + (1000 - level) / 1000), true)) AS fine
+      FROM v JOIN rules USING (m) LEFT JOIN last o ON o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source AND o.m = v.m GROUP BY v.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept, n_lines, n_upper FROM b JOIN j USING (doc_id)"""
     for c in "abc":
         text = text.replace(f"val({c})", f"(({c} % {1 << p}) << ({c} // {1 << p})::BIGINT)").replace(f"top({c})", f"((({c} % {1 << p}) + 1) << ({c} // {1 << p})::BIGINT) - 1")
@@ -74,8 +74,6 @@ def _licences() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     listed = lambda x: "[" + ", ".join(map(quoted, x)) + "]::VARCHAR[]"
     rows = ", ".join(f"({i}, {quoted(x.name)}, {quoted(x.text)}, {listed(x.must)}, {listed(x.never)})" for i, x in enumerate(licenses.TEMPLATES))
-    own = licenses.anchors(licenses.vectors(licenses.TEMPLATES)[2], licenses.LEAST)
-    anchor = ", ".join(f"({i}, {quoted(a)})" for i, x in enumerate(own) for a in x)
     return f"""
 WITH tpl AS (SELECT *, regexp_extract_all(lower(body), '{licenses.TERM}') AS w FROM (VALUES {rows}) v(t, name, body, must, never)),
 tw AS (SELECT t, w[i] AS term, i - 1 AS o, len(w) AS k FROM (SELECT t, w, unnest(range(1, len(w) + 1)) AS i FROM tpl)),
@@ -83,7 +81,7 @@ df AS (SELECT term, count(DISTINCT t) AS df FROM tw GROUP BY term),
 idf AS (SELECT term, ln((1 + (SELECT count(*) FROM tpl)) / (1 + df)) + 1 AS idf FROM df),
 raw AS (SELECT t, term, count(*) * any_value(idf) AS x FROM tw JOIN idf USING (term) GROUP BY t, term),
 wt AS (SELECT t, term, x / sqrt(sum(x * x) OVER (PARTITION BY t)) AS w FROM raw),
-place AS (SELECT tw.* FROM tw JOIN (VALUES {anchor}) a(t, term) ON tw.t = a.t AND tw.term = a.term),
+place AS (SELECT tw.* FROM tw JOIN tpl ON tw.t = tpl.t AND tw.term = tpl.must[1]),
 p AS (SELECT doc_id, text, ['tree', (doc_id // 1000)::VARCHAR, (doc_id // 100)::VARCHAR, (doc_id // 10)::VARCHAR][1 : CASE WHEN doc_id % 1000 = 0 THEN 2 WHEN doc_id % 100 = 0 THEN 3 ELSE 4 END] AS dirs,
       CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS base FROM documents),
 d AS (SELECT doc_id, dirs, base, array_to_string(dirs, '/') AS dir, array_to_string(dirs, '/') || '/' || base AS path, regexp_extract_all(lower(coalesce(text, '')), '{licenses.TERM}') AS w FROM p),
@@ -103,4 +101,21 @@ SELECT e.doc_id, e.path, coalesce(e.own, near.own, 'none') AS license, CASE WHEN
        CASE WHEN e.own IS NOT NULL THEN e.score ELSE coalesce(near.score, 0.0)::DOUBLE END AS score, near.path AS licence_path FROM e LEFT JOIN near USING (doc_id)"""
 
 
-SQL = {"op4_license_scan": _licences(), "op5_quality_rules": _quality(), "op8_minhash_near_dedup": NEAR, "op9_warc_bundles": WARC}
+def _languages() -> str:
+    """crc32 bit by bit; n-grams as strings, whose order among those of one length is that of their codes."""
+    crc = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)"
+    return f"""
+WITH d AS (SELECT doc_id, lang, {crc} % 3 = 1 AS held_out, list_transform(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+'), lambda x: ' ' || x || ' ') AS w FROM documents),
+w AS (SELECT doc_id, unnest(w) AS w FROM d),
+c AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY ALL),
+g AS (SELECT doc_id, g, sum(n) AS n FROM (SELECT doc_id, n, w[i : i + k - 1] AS g FROM (SELECT doc_id, w, n, k, unnest(range(1, length(w) - k + 2)) AS i FROM c, (SELECT unnest(range(1, {langid.N_MAX + 1})) AS k) WHERE length(w) >= k)) WHERE g <> ' ' GROUP BY ALL),
+learned AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, length(g), g) - 1 AS r FROM (SELECT lang, g, sum(n) AS n FROM g JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL) QUALIFY r < {langid.K}),
+own AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) - 1 AS r FROM g QUALIFY r < {langid.K}),
+size AS (SELECT doc_id, count(*) AS n FROM own GROUP BY doc_id),
+met AS (SELECT doc_id, l.lang, sum({langid.K} - abs(own.r - l.r)) AS near FROM own JOIN learned l USING (g) GROUP BY ALL),
+away AS (SELECT doc_id, l.lang, {langid.K} * n - coalesce(near, 0) AS away, n FROM size CROSS JOIN (SELECT DISTINCT lang FROM learned) l LEFT JOIN met USING (doc_id, lang)),
+best AS (SELECT doc_id, lang, away, n FROM away QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY away, lang) = 1)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1.0::DOUBLE - away::DOUBLE / ({langid.K} * n)::DOUBLE, 0.0::DOUBLE) AS score FROM d LEFT JOIN best USING (doc_id)"""
+
+
+SQL = {"op1_language_id": _languages(), "op4_license_scan": _licences(), "op5_quality_rules": _quality(), "op8_minhash_near_dedup": NEAR, "op9_warc_bundles": WARC}

@@ -7,7 +7,9 @@ at most. A measure's fence lies beyond a quantile of the group, its level, by `r
 times the distance of that quantile from the median, so the group's own spread sets
 it and no number is added: where nine of ten documents have no symbols, symbols are
 unusual; where they are usual, the fence moves out. A level of 0.8 stays put until a
-fifth of the group is junk.
+fifth of the group is junk. A document is let the noise of counting too: `reach` times
+the root of the occurrences that the fence allows it and of the share of documents
+beyond the level, so two or three in a text are within where nobody has any.
 Fences of a group of n documents are drawn towards those of its language, and these
 towards those of all, with the weight of WEIGHT documents: no size switches anything.
 
@@ -181,8 +183,12 @@ def judged(rows: DataFrame, scratch: Scratch, lang: str, source: str, c: str = "
     # every row that passes the base rule has a group there; broadcast only while Spark finds it small
     out = rows.join(limits.toDF(l, s, low, high), F.col(lang).eqNullSafe(F.col(l)) & F.col(source).eqNullSafe(F.col(s)), "left")
     kept = ~base_failed(c)
-    for i, x in enumerate(measured(c)):
-        kept = kept & F.coalesce(x.between(F.get(low, F.lit(i)), F.get(high, F.lit(i))), F.lit(True))
+    for i, (x, (top, bottom, scale, two, level, reach)) in enumerate(zip(measured(c), MEASURES.values())):
+        inside = x.between(F.get(low, F.lit(i)), F.get(high, F.lit(i)))
+        if not two:
+            usual = F.get(high, F.lit(i)) * F.col(f"{c}.{bottom}") / F.lit(float(scale))
+            inside = inside | (F.col(f"{c}.{top}") <= usual + F.lit(float(reach)) * F.sqrt(usual + F.lit((1000 - level) / 1000)))
+        kept = kept & F.coalesce(inside, F.lit(True))
     return out.select(*[F.col(f"`{f}`") for f in rows.columns], kept.alias(verdict))
 
 
