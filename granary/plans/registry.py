@@ -389,7 +389,18 @@ def _turn_pairs(spark, sf_dir):
     return turns.withColumn("reply", F.lead("text").over(own)).where("role = 'user' AND reply IS NOT NULL")
 
 
-@query()
+# a row of the table of common subsequences a step; its entries are running maxima of what each word adds
+@query(r"""
+WITH RECURSIVE turns AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations),
+p AS (SELECT row_number() OVER () AS k, conv_id, turn, text, reply, regexp_extract_all(lower(text), '([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])', 1) AS a, regexp_extract_all(lower(reply), '([\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])', 1) AS b FROM turns WHERE role = 'user' AND reply IS NOT NULL),
+t AS (SELECT k, 0 AS i, list_transform(range(0, len(b) + 1), lambda x: 0::BIGINT) AS old FROM p UNION ALL
+      SELECT k, i + 1, list_transform(range(1, len(cand) + 1), lambda j: list_max(cand[1:j])) FROM (
+        SELECT t.k, i, list_concat([0::BIGINT], list_transform(range(1, len(b) + 1), lambda j: CASE WHEN a[i + 1] = b[j] THEN old[j] + 1 ELSE old[j + 1] END)) AS cand FROM t JOIN p ON t.k = p.k WHERE i < len(a))),
+l AS (SELECT k, max_by(old[len(old)], i) AS lcs FROM t GROUP BY k),
+n AS (SELECT p.*, lcs, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE lcs / greatest(len(a), len(b)) END AS r,
+      list_sort(list_transform(regexp_extract_all(text, '(?:(?:\d{1,3}(?:,\d{3})+)|\d+)(?:\.\d+)?%?'), lambda x: rtrim(replace(x, ',', ''), '%'))) = list_sort(list_transform(regexp_extract_all(reply, '(?:(?:\d{1,3}(?:,\d{3})+)|\d+)(?:\.\d+)?%?'), lambda x: rtrim(replace(x, ',', ''), '%'))) AS same FROM p JOIN l USING (k))
+SELECT conv_id, turn, round(r, 6) AS rouge_l, same AND r >= 0.75 AS safe FROM n
+""")
 def q_rouge_lcs(spark, sf_dir):
     score = similarity.rouge_l(F.col("text"), F.col("reply"))
     return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(score, 6).alias("rouge_l"), similarity.passes_safety(F.col("text"), F.col("reply")).alias("safe"))
@@ -408,7 +419,23 @@ def q_hash_embed(spark, sf_dir):
     return rows.select("doc_id", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("n_words"), F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",")).alias("digest"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE t AS (SELECT doc_id, {TIDY_SQL} AS t FROM documents),
+s AS (SELECT doc_id, t, unnest(range(0, greatest(length(t), 1), 780)) AS pos FROM t),
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, substring(t, pos + 1, 900) AS text FROM s),
+k AS (SELECT row_number() OVER (ORDER BY doc_id, i) AS id, lpad(doc_id::VARCHAR, 12, '0') AS stem, i, n, text FROM c),
+sig AS (SELECT id, CASE WHEN len(w) < 5 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM (SELECT id, {WORDS_SQL} AS w FROM k)),
+ex AS (SELECT id, unnest(s) AS x, len(s) AS n FROM sig),
+near AS (SELECT a.id AS a, b.id AS b, count(*) AS inter, any_value(a.n) AS na, any_value(b.n) AS nb FROM ex a JOIN ex b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM near WHERE inter / (na + nb - inter) >= 0.9),
+edges AS (SELECT b AS id, list(a) AS before FROM pairs GROUP BY b),
+o AS (SELECT s.id, row_number() OVER (ORDER BY s.id) AS rn, coalesce(e.before, []) AS before FROM (SELECT DISTINCT b AS id FROM pairs UNION SELECT DISTINCT a FROM pairs) s LEFT JOIN edges e ON s.id = e.id),
+w AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS kept UNION ALL
+      SELECT o.rn, CASE WHEN list_has_any(w.kept, o.before) THEN w.kept ELSE list_append(w.kept, o.id) END FROM w JOIN o ON o.rn = w.rn + 1),
+last AS (SELECT kept FROM w ORDER BY rn DESC LIMIT 1),
+good AS (SELECT s.id FROM sig s WHERE CASE WHEN len(s.s) = 0 THEN s.id = (SELECT min(id) FROM sig WHERE len(s) = 0) WHEN s.id IN (SELECT id FROM o) THEN list_contains((SELECT kept FROM last), s.id) ELSE true END)
+SELECT stem || '.txt' AS doc_path, i::INT AS chunk_idx, CASE WHEN n = 1 THEN stem || '.txt' ELSE stem || '.part' || lpad((i + 1)::VARCHAR, 3, '0') || '.txt' END AS chunk_path, md5(text) AS digest FROM k JOIN good USING (id)
+""")
 def q_ingest(spark, sf_dir):
     """Normalise, chunk and de-duplicate all documents: the kept chunks."""
     docs = table(spark, sf_dir, "documents").select(F.format_string("%012d.txt", "doc_id").alias("doc_path"), "text")
