@@ -13,7 +13,10 @@ checked, so profiles are small enough to send to every task.
 Edges: a null text, or one without a letter, is `und` with score 0; rows with null
 language teach nothing; where nothing is learned all texts are `und`. Equal
 distances go to the first language in order. Repeated rows count as often as they
-occur in training and get equal predictions. Long texts are counted in blocks.
+occur in training and get equal predictions. Long texts are counted in blocks, cut
+between words; a word of half a block or more is cut inside. Empty tables give empty
+ones. Other columns, whatever their names, are ignored unless `keep` has them; none of
+them is an input of a prediction.
 """
 
 from __future__ import annotations
@@ -150,6 +153,7 @@ def profiles(train: DataFrame, text: str = "text", lang: str = "lang", k: int =
     counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # the bound is checked, never cut to: more names than languages are a fault of the labels
     got = best.select("lang", "rank", "gram").limit(MAX_LANGS * k + 1).toArrow()
     if got.num_rows > MAX_LANGS * k:
         raise ValueError(f"more than {MAX_LANGS} languages: clean the labels first")

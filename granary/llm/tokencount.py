@@ -12,8 +12,9 @@ A character counts for the token that has its first byte; a token without any
 
 Edges: a null or empty document has one section, 0, without tokens; a null field
 is an empty one; a section may have no token. Each row is a document of its own,
-so repeated ids and rows are counted separately and may repeat (doc_id, section).
-An empty table gives an empty table; other columns are ignored.
+so repeated ids and rows are counted separately and may repeat (doc_id, section). A
+very long text is encoded whole, as a shorter one is. An empty table gives an empty
+table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
