@@ -1,14 +1,13 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance by directory.
 
-A text is read as its terms. Each template has anchors, terms picked so that the rest
-of its unit vector is shorter than LEAST: without one of them no cosine can reach it.
-Where a text has an anchor, the stretch of terms that the template would cover there
-is a block, wherever in a line or across lines it begins; the whole text is a block
-too. A block's vector has tf * idf for each of its terms; idf comes from the
+A text is read as its terms. Each template names terms that a block must have, the
+first of which is its anchor: no text without it has the licence. Where a text has the
+anchor, the stretch of terms that the template would cover there is a block, wherever
+in a line or across lines it begins; the whole text is a block too. A block's vector has tf * idf for each of its terms; idf comes from the
 templates, and terms that no template has get the idf of a term never seen. A file's
 licence is that of the best block whose cosine with the template reaches LEAST, and
-which has the template's own terms and none of its siblings' (version, Lesser, Affero,
-number of clauses). A file is a licence file if its name says so and it has a licence,
+which has the terms it must and none of its siblings' (version, Lesser, Affero, number
+of clauses). A file is a licence file if its name says so and it has a licence,
 or if its whole text reaches WHOLE; a file without a licence inherits that of the
 licence file in the nearest directory above it.
 
@@ -43,7 +42,7 @@ FILE_NAME = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
 class Template:
     name: str
     text: str
-    must: tuple[str, ...] = field(default=())  # terms that tell it from its siblings
+    must: tuple[str, ...]  # its anchor, then terms that tell it from its siblings
     never: tuple[str, ...] = field(default=())  # terms of its siblings
 
 
@@ -67,29 +66,29 @@ _SPDX = ("Apache-2.0", "MIT", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGP
 
 # Notices, standard headers and texts of common licences, by SPDX name.
 TEMPLATES: list[Template] = [
-    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    Template("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
-    Template("MIT", "Released under the MIT License."),
-    Template("MIT", _MIT),
-    Template("MIT", f"{_MIT} {_AS_IS}"),
-    *[Template(n, f"This work is licensed under the GNU {title}, version {v}.", must, never) for n, title, v, must, never in _GNU],
-    *[Template(n, _OTHER.format(title, v), must, never) for n, title, v, must, never in _GNU],
-    *[Template(n, _HEAD.format(title, v), must, never) for n, title, v, must, never in _GNU],
-    Template("BSD-2-Clause", "Released under the BSD 2-Clause License.", ("2",)),
-    Template("BSD-3-Clause", "Released under the BSD 3-Clause License.", ("3",)),
-    Template("BSD-2-Clause", f"{_BSD} {_BSD_END}", (), ("endorse",)),
-    Template("BSD-3-Clause", f"{_BSD} {_BSD3} {_BSD_END}", ("endorse",)),
-    Template("ISC", "Released under the ISC License."),
-    Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("2.0",)),
-    Template("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ("2.0",)),
-    Template("CC-BY-4.0", "Licensed under CC BY 4.0.", (), ("sa", "nc", "nd")),
-    Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ("sa",), ("nc",)),
-    Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("nc",), ("sa", "nd")),
-    Template("CC0-1.0", "Released into the public domain under CC0 1.0 Universal."),
-    Template("Unlicense", "This is free and unencumbered software released into the public domain."),
-    *[Template(n, f"SPDX-License-Identifier: {n}", tuple(re.findall(TERM, n.lower()))) for n in _SPDX],
+    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache", "2.0")),
+    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", ("apache", "2.0")),
+    Template("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", ("apache", "2.0")),
+    Template("MIT", "Released under the MIT License.", ("license", "mit")),
+    Template("MIT", _MIT, ("sublicense",)),
+    Template("MIT", f"{_MIT} {_AS_IS}", ("sublicense",)),
+    *[Template(n, f"This work is licensed under the GNU {title}, version {v}.", ("gnu", *must), never) for n, title, v, must, never in _GNU],
+    *[Template(n, _OTHER.format(title, v), ("gnu", *must), never) for n, title, v, must, never in _GNU],
+    *[Template(n, _HEAD.format(title, v), ("gnu", "verbatim", *must), never) for n, title, v, must, never in _GNU],
+    Template("BSD-2-Clause", "Released under the BSD 2-Clause License.", ("bsd", "2")),
+    Template("BSD-3-Clause", "Released under the BSD 3-Clause License.", ("bsd", "3")),
+    Template("BSD-2-Clause", f"{_BSD} {_BSD_END}", ("redistribution",), ("endorse",)),
+    Template("BSD-3-Clause", f"{_BSD} {_BSD3} {_BSD_END}", ("redistribution", "endorse")),
+    Template("ISC", "Released under the ISC License.", ("license", "isc")),
+    Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ("permission", "fee")),
+    Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "2.0")),
+    Template("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ("eclipse", "2.0")),
+    Template("CC-BY-4.0", "Licensed under CC BY 4.0.", ("licensed", "cc", "4.0"), ("sa", "nc", "nd")),
+    Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ("licensed", "cc", "sa", "4.0"), ("nc",)),
+    Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("licensed", "cc", "nc", "4.0"), ("sa", "nd")),
+    Template("CC0-1.0", "Released into the public domain under CC0 1.0 Universal.", ("cc0",)),
+    Template("Unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered",)),
+    *[Template(n, f"SPDX-License-Identifier: {n}", ("spdx", *re.findall(TERM, n.lower()))) for n in _SPDX],
 ]
 
 
@@ -110,32 +109,12 @@ def vectors(templates: list[Template]) -> tuple[dict[str, float], float, list[di
     return idf, math.log(1 + len(bags)) + 1, out
 
 
-def anchors(units: list[dict[str, float]], least: float) -> list[list[str]]:
-    """For each template, terms without any of which no block has a cosine of `least` to it.
-
-    Picked one by one: of the terms of five letters or more (of any, if those don't
-    do), that which takes most from the templates whose rest is still too long, so
-    that templates share their anchors.
-    """
-    chosen: set[str] = set()
-    while True:
-        rests = [{t: x for t, x in v.items() if t not in chosen} for v in units]
-        gain: Counter = Counter()
-        for rest in rests:
-            if sum(x * x for x in rest.values()) >= least * least - 1e-9:
-                gain.update({t: x * x for t, x in rest.items()})
-        if not gain:
-            break
-        chosen.add(min(gain, key=lambda t: (len(t) < 5, -gain[t], t)))
-    return [sorted(t for t in v if t in chosen) for v in units]
-
-
-def places(templates: list[Template], own: list[list[str]]) -> list[tuple[str, int, int, int]]:
-    """(anchor, template, offset in its terms, number of its terms) of each occurrence of an anchor."""
+def places(templates: list[Template]) -> list[tuple[str, int, int, int]]:
+    """(anchor, template, offset in its terms, number of its terms) of each occurrence of an anchor in its template."""
     out = []
-    for t, (template, found) in enumerate(zip(templates, own)):
+    for t, template in enumerate(templates):
         all_ = terms(template.text)
-        out += [(x, t, i, len(all_)) for i, x in enumerate(all_) if x in found]
+        out += [(x, t, i, len(all_)) for i, x in enumerate(all_) if x == template.must[0]]
     return out
 
 
@@ -147,7 +126,7 @@ def scan(files: DataFrame, templates: list[Template] = TEMPLATES, least: float =
     spark = files.sparkSession
     scratch = Scratch(spark, "licenses")
     idf, unseen, units = vectors(templates)
-    at = places(templates, anchors(units, least))
+    at = places(templates)
     names = sorted({a for a, *_ in at})
     file_key = F.xxhash64(F.col("text"), F.octet_length("text"))
     rows = files.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], F.col(path).alias("path"), F.col(text).alias("text"))
@@ -164,17 +143,13 @@ def scan(files: DataFrame, templates: list[Template] = TEMPLATES, least: float =
     # constants of the templates, some hundred entries
     table = F.create_map(*[x for n in names for x in (F.lit(n), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(o).alias("o"), F.lit(k).alias("k")) for a, t, o, k in at if a == n]))])
     every = F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(table, h["anchor"]), lambda p: F.struct(p["t"].alias("t"), F.greatest(h["i"] - p["o"], F.lit(0)).alias("start"), (F.least(h["i"] - p["o"], F.lit(0)) + p["k"]).alias("k")))))
-    all_ = F.transform(every, lambda b: F.struct(b["t"].alias("t"), F.lit(-1).alias("start"), F.size("terms").alias("k")))
-    block = found.select("file", "terms", F.explode(F.array_distinct(F.concat(every, all_))).alias("b"))
+    found = found.select("file", "terms", F.explode(F.array(every)).alias("every"))
+    all_ = F.transform(F.array_distinct(F.transform("every", lambda b: b["t"])), lambda t: F.struct(t.alias("t"), F.lit(-1).alias("start"), F.size("terms").alias("k")))
+    block = found.select("file", "terms", F.explode(F.concat("every", all_)).alias("b"))
     block = block.select("file", F.col("b.t").alias("t"), F.col("b.start").alias("start"), F.slice("terms", F.greatest(F.col("b.start"), F.lit(0)) + 1, F.col("b.k")).alias("terms"))
-    for t, x in enumerate(templates):
-        if x.must or x.never:
-            fits = F.lit(True)
-            for term in x.must:
-                fits = fits & F.array_contains("terms", term)
-            for term in x.never:
-                fits = fits & ~F.array_contains("terms", term)
-            block = block.where((F.col("t") != t) | fits)
+    lists = lambda side: F.array(*[F.array(*[F.lit(x) for x in getattr(t, side)]).cast("array<string>") for t in templates])
+    must, never = (F.element_at(lists(side), F.col("t") + 1) for side in ("must", "never"))
+    block = block.where((F.size(F.array_except(must, "terms")) == 0) & ~F.arrays_overlap(never, "terms"))
     # equal texts have equal blocks, which are one from here on
     tf = block.groupBy("file", "t", "start").agg(F.first("terms").alias("terms")).select("file", "t", "start", F.explode("terms").alias("term"))
     tf = tf.groupBy("file", "t", "start", "term").agg(F.count("*").alias("tf"))
