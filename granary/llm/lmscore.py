@@ -6,8 +6,10 @@ they differ in nothing but what they counted: the target model the rows whose id
 target, the background model all others. Every row is counted in one of them, and
 counts of all words and bigrams are gathered from every task. The vocabulary and the
 table grow with the tokens of the corpus, a word in WORD_SHARE tokens and a bucket in
-BUCKET_SHARE, up to the most that the memory of a worker is meant to hold
-(MOST_WORDS, MOST_BUCKETS: parameters of the call).
+BUCKET_SHARE. The table grows without end: what exceeds the memory that a worker is meant
+to give it is held in parts of MOST_BUCKETS, and the documents are read once for
+each part, which adds the losses of the words whose bigrams it has. The vocabulary has at
+most MOST_WORDS, and all other words are one (both are parameters of the call).
 
 The background has many times the target's words. So that the two are comparable its
 counts are divided by the ratio of their tokens before they are smoothed: both models
@@ -32,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +93,9 @@ class Models:
     vocab: np.ndarray  # sorted word hashes
     unigram: np.ndarray  # 2 x (vocabulary and the unknown word)
     context: np.ndarray  # 2 x (the same and the start)
-    bigram: np.ndarray  # 2 x buckets
+    bigram: np.ndarray  # 2 x buckets of this part
+    first: int  # the part's first bucket
+    buckets: int  # of all parts
 
 
 def sized(tokens: int, share: int, least: int, most: int) -> int:
@@ -131,53 +136,77 @@ def encode(h: np.ndarray, doc: np.ndarray, vocab: np.ndarray, buckets: int) -> t
     return ids, before, (words.mix(before.astype(np.uint64) * np.uint64(n + 2) + ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def fit(docs: DataFrame, scratch: Scratch, most_words: int = MOST_WORDS, most_buckets: int = MOST_BUCKETS) -> Models:
-    """docs: text, target (boolean, not null)."""
+def fit(docs: DataFrame, scratch: Scratch, most_words: int = MOST_WORDS, most_buckets: int = MOST_BUCKETS) -> Iterator[Models]:
+    """docs: text, target (boolean, not null). The models, with one part of the table after the other."""
     counts = scratch.save(word_counts(docs), "words")
     tokens = counts.agg(F.sum("n")).first()[0] or 0
     top = vocabulary(counts, sized(tokens, WORD_SHARE, LEAST_WORDS, most_words)).toArrow()
     vocab = np.sort(np.asarray(top.column(0).combine_chunks()).view(np.uint64)) if top.num_rows else np.zeros(0, np.uint64)
-    n, buckets = len(vocab), sized(tokens, BUCKET_SHARE, LEAST_BUCKETS, most_buckets)
+    n, buckets = len(vocab), sized(tokens, BUCKET_SHARE, LEAST_BUCKETS, 1 << 62)
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
-    sizes = (n + 1, n + 2, buckets)
-    bases = np.cumsum([0, *sizes])
+    bases = [0, n + 1, 2 * n + 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, bases[-1]), np.int32)
+        held, size = [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            """Cells, and twice their counts' sums: 2 x cells."""
+            k, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            return k, np.stack([np.bincount(back, np.concatenate([t[s] for _, t in held]), len(k)).astype(np.int64) for s in (0, 1)])
+
+        def out(k: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(k), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (k, *t)], names=["cell", "t", "b"])
+
         for batch in batches:
             for part in words.slices(batch, 0):
                 h, doc, _ = _hashed(part.column(0))
                 if len(h):
-                    side = np.where(np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool), 0, 1)[doc]
-                    for kind, own in enumerate(encode(h, doc, sent.value, buckets)):
-                        for s in (0, 1):
-                            cells, times = np.unique(own[side == s], return_counts=True)
-                            total[s, bases[kind] + cells] += times.astype(np.int32)
-        cells = np.flatnonzero(total.any(axis=0))
-        for at in range(0, len(cells), 100_000):
-            c = cells[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(total[0, c].astype(np.int64)), pa.array(total[1, c].astype(np.int64))], names=["cell", "t", "b"])
-
-    cells = docs.select("text", "target").mapInArrow(run, "cell int, t long, b long").groupBy("cell").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    got = scratch.save(cells, "models").toArrow()  # the two most sizes bound it
-    flat = np.zeros((2, bases[-1]), np.float64)
-    for i in (0, 1):
-        flat[i, np.asarray(got.column(0))] = np.asarray(got.column(1 + i))
-    unigram, context, bigram = (flat[:, a:b] for a, b in zip(bases, bases[1:]))
-    return Models(vocab, unigram, context, bigram)
-
-
-def losses(models: Models, h: np.ndarray, doc: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """2 x words: the loss of each word under the target and the background model."""
-    ids, before, bucket = encode(h, doc, models.vocab, models.bigram.shape[1])
-
-    def own(x: np.ndarray) -> np.ndarray:
+                    other = np.where(np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool), 0, 1)[doc]
+                    for base, own in zip(bases, encode(h, doc, sent.value, buckets)):
+                        cells, times = np.unique(2 * own + other, return_counts=True)
+                        held.append((base + cells // 2, np.where(cells % 2 == [[0], [1]], times, 0)))
+                        size += len(cells)
+                if size > FLUSH:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > FLUSH // 2:
+                        yield from out(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from out(*merged())
+
+    cells = docs.select("text", "target").mapInArrow(run, "cell long, t long, b long").groupBy("cell").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    cells = scratch.save(cells, "models")
+
+    def dense(start: int, width: int) -> np.ndarray:
+        got = cells.where(F.col("cell").between(start, start + width - 1)).toArrow()  # a row a cell at most
+        flat = np.zeros((2, width), np.float64)
+        for i in (0, 1):
+            flat[i, np.asarray(got.column(0)) - start] = np.asarray(got.column(1 + i))
+        return flat
+
+    unigram, context = dense(0, n + 1), dense(n + 1, n + 2)
+    width = min(buckets, most_buckets)
+    for first in range(0, buckets, width):
+        yield Models(vocab, unigram, context, dense(bases[2] + first, min(width, buckets - first)), first, buckets)
+
+
+def losses(models: Models, h: np.ndarray, doc: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words whose bigrams are in this part of the table: their texts' numbers, and 2 x words, the loss under the target and the background model."""
+    ids, before, bucket = encode(h, doc, models.vocab, models.buckets)
+    at = np.flatnonzero((bucket >= models.first) & (bucket < models.first + models.bigram.shape[1]))
+
+    def own(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """How often the word's document has the word's x."""
         _, back, count = np.unique(doc * np.int64(1 << 32) + x, return_inverse=True, return_counts=True)
         return count[back]
 
-    mine = (own(ids), own(before), own(bucket), np.bincount(doc)[doc] if len(doc) else doc)
-    out = np.empty((2, len(h)))
+    whole = np.bincount(doc) if len(doc) else doc
+    mine = [own(ids, doc)[at], own(before, doc)[at]]
+    ids, before, bucket, doc = ids[at], before[at], bucket[at] - models.first, doc[at]
+    mine += [own(bucket, doc), whole[doc]]
+    out = np.empty((2, len(at)))
     all_ = models.unigram.sum(axis=1, dtype=np.float64)
     for s in (0, 1):
         out_of = (target[doc] == (s == 0)).astype(np.int64)
@@ -186,29 +215,46 @@ def losses(models: Models, h: np.ndarray, doc: np.ndarray, target: np.ndarray) -
         uni, con, bi = (unit * (c[s][x].astype(np.float64) - out_of * m) for c, x, m in zip((models.unigram, models.context, models.bigram), (ids, before, bucket), mine))
         low = (uni + 1.0) / (unit * (all_[s] - out_of * mine[3]) + len(models.vocab) + 1.0)
         out[s] = -np.log((np.minimum(bi, con) + MASS * low) / (con + MASS))
-    return out
+    return doc, out
+
 
+def _added(sent: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]]:
+    """Rows (text, target, doc_id, sum_t, sum_b), their texts' words, and the sums with this part's losses."""
+    for batch in batches:
+        for part in words.slices(batch, 0):
+            h, doc, n = _hashed(part.column(0))
+            has, each = losses(sent.value, h, doc, np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool))
+            yield part, np.bincount(doc, minlength=n), [np.asarray(part.column(3 + s)) + np.bincount(has, each[s], n) for s in (0, 1)]
 
-def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", most_words: int = MOST_WORDS, most_buckets: int = MOST_BUCKETS) -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score) of each row; a lower score is more like the target.
 
     targets: a column doc_id. The losses and their difference, the score, are means a token, in nats.
     """
-    scratch = Scratch(docs.sparkSession, "lmscore")
+    scratch, context = Scratch(docs.sparkSession, "lmscore"), docs.sparkSession.sparkContext
     ids = scratch.save(targets.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct(), "targets").withColumn("_t", F.lit(True))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, F.col("doc_id") == F.col("_id"), "left")
     rows = rows.select("text", F.coalesce("_t", F.lit(False)).alias("target"), "doc_id")
-    sent = docs.sparkSession.sparkContext.broadcast(fit(rows, scratch))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    summed = rows.select("*", F.lit(0.0).alias("sum_t"), F.lit(0.0).alias("sum_b"))
+    for models in fit(rows, scratch, most_words, most_buckets):
+        sent = context.broadcast(models)
+        if models.first + models.bigram.shape[1] == models.buckets:
+            break
+
+        def carry(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            for part, _, sums in _added(sent, batches):
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, sums)], names=["text", "target", "doc_id", "sum_t", "sum_b"])
+
+        summed = scratch.save(summed.mapInArrow(carry, f"text string, target boolean, doc_id {id_type}, sum_t double, sum_b double"), f"sums-{models.first}")
+        sent.destroy()
+        scratch.keep("targets", "models", f"sums-{models.first}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in words.slices(batch, 0):
-                h, doc, n = _hashed(part.column(0))
-                each = losses(sent.value, h, doc, np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool))
-                count = np.bincount(doc, minlength=n)
-                mean = [np.bincount(doc, x, minlength=n) / np.maximum(count, 1) for x in each]
-                none = count == 0
-                cols = [pa.array(x, mask=none) for x in (*mean, mean[0] - mean[1])]
-                yield pa.RecordBatch.from_arrays([part.column(2), pa.array(count.astype(np.int64)), *cols], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, loss_target double, loss_background double, score double")
+        for part, count, sums in _added(sent, batches):
+            mean = [x / np.maximum(count, 1) for x in sums]
+            cols = [pa.array(x, mask=count == 0) for x in (*mean, mean[0] - mean[1])]
+            yield pa.RecordBatch.from_arrays([part.column(2), pa.array(count.astype(np.int64)), *cols], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+
+    return summed.mapInArrow(run, f"doc_id {id_type}, n_tokens long, loss_target double, loss_background double, score double")

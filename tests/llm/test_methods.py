@@ -365,6 +365,18 @@ def test_losses_against_plain_counting(spark, documents, prose):
     assert lmscore.score(docs, targets.limit(0)).count() == len(rows)
 
 
+def test_a_table_in_parts_gives_the_losses_of_the_whole_one(spark, documents, prose):
+    """A table beyond the bound is not folded into it: bigrams share no more buckets than in the whole one."""
+    docs = documents([(i, prose(i % 7, 40) + f" w{i}") for i in range(30)] + [(None, prose(1, 9)), (3, None), (4, "")])
+    targets = spark.createDataFrame([(i,) for i in range(0, 30, 4)], "doc_id long")
+    one, parts = (sorted(lmscore.score(docs, targets, most_buckets=n).collect(), key=str) for n in (lmscore.LEAST_BUCKETS, lmscore.LEAST_BUCKETS // 4))
+    by = lambda rows: sorted((str(r.doc_id), r.n_tokens, r.score is None, *(round(x, 9) for x in r[2:] if x is not None)) for r in rows)
+    assert by(one) == by(parts) and len(one) == 33
+    found = list(lmscore.fit(docs.select("text", F.lit(True).alias("target")), Scratch(spark, "t"), most_buckets=lmscore.LEAST_BUCKETS // 4))
+    assert [m.first for m in found] == [k * lmscore.LEAST_BUCKETS // 4 for k in range(4)]
+    assert sum(m.bigram.sum() for m in found) == sum(r.n_tokens for r in one) and {m.buckets for m in found} == {lmscore.LEAST_BUCKETS}
+
+
 def test_models_grow_with_the_corpus(spark):
     assert [lmscore.sized(n, 8, 16, 1024) for n in (0, 100, 129, 1000, 10**9)] == [16, 16, 32, 128, 1024]
     counts = spark.createDataFrame([(i, n) for i, n in enumerate([9, 9, 5, 5, 5, 1000, 1001, 1])], "word long, n long")
