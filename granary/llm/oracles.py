@@ -118,4 +118,13 @@ best AS (SELECT doc_id, lang, away, n FROM away QUALIFY row_number() OVER (PARTI
 SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(1.0::DOUBLE - away::DOUBLE / ({langid.K} * n)::DOUBLE, 0.0::DOUBLE) AS score FROM d LEFT JOIN best USING (doc_id)"""
 
 
-SQL = {"op1_language_id": _languages(), "op4_license_scan": _licences(), "op5_quality_rules": _quality(), "op8_minhash_near_dedup": NEAR, "op9_warc_bundles": WARC}
+NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label, list_inner_product(a.v, c.v)::BIGINT AS score FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> own AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5"""
+
+
+SQL = {"op1_language_id": _languages(), "op4_license_scan": _licences(), "op5_quality_rules": _quality(), "op8_minhash_near_dedup": NEAR, "op9_warc_bundles": WARC, "op13_hard_negatives": NEGATIVES}

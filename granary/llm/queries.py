@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontam, langid, licenses, linededup, lmscore, neardup, packing, pieces, quality, tokencount, warc
+from granary.llm import decontam, langid, licenses, linededup, lmscore, neardup, negatives, packing, pieces, quality, tokencount, warc
 from granary.llm.oracles import SQL
 
 
@@ -71,6 +71,12 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vector"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
         op1_language_id,
         op2_best_fit_packing,
@@ -83,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
         op9_warc_bundles,
         op10_token_counts,
         op12_sentencepiece,
+        op13_hard_negatives,
     )}
 __all__ = ["QUERIES", "SQL"]
