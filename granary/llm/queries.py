@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontam, langid, licenses, linededup, lmscore, neardup, negatives, packing, pieces, quality, tokencount, warc
+from granary.llm import align, decontam, langid, licenses, linededup, lmscore, neardup, negatives, packing, pieces, quality, tokencount, warc
 from granary.llm.oracles import SQL
 
 
@@ -67,6 +67,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(_table(spark, sf_dir, "documents"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_table(spark, sf_dir, "documents"))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
         op8_minhash_near_dedup,
         op9_warc_bundles,
         op10_token_counts,
+        op11_cross_tokenizer_alignment,
         op12_sentencepiece,
         op13_hard_negatives,
     )}
