@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from granary.functions import prompts, similarity
 from granary.functions import text as T
-from granary.operators import catalog, chunking, dedup, generate, hybrid, lexical, paraphrase, vectors
+from granary.operators import catalog, changes, chunking, dedup, generate, hybrid, lexical, paraphrase, postings, vectors
 from granary.plans import ingest
 from granary.sources import files
 from granary.sources.extract import html_to_text
+from granary.storage import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -440,3 +441,47 @@ def q_ingest(spark, sf_dir):
     """Normalise, chunk and de-duplicate all documents: the kept chunks."""
     docs = table(spark, sf_dir, "documents").select(F.format_string("%012d.txt", "doc_id").alias("doc_path"), "text")
     return ingest.kept(ingest.normalize(docs)).select("doc_path", "chunk_idx", "chunk_path", F.md5("text").alias("digest"))
+
+
+# ---- stored indexes and their upkeep
+
+@query(f"WITH {BM25_SQL} SELECT qid, id AS doc_id, rank::INT AS rank, round(bm25, 6) AS bm25 FROM lex")
+def q_bm25_blocks(spark, sf_dir):
+    """BM25 over the written index: term-clustered blocks, whose bounds leave most of them unread."""
+    store = postings.Store.create(table(spark, sf_dir, "documents"), _folder(spark, "postings"))
+    return store.search(_asked(spark, sf_dir), 18).select("qid", F.col("id").alias("doc_id"), "rank", F.round("bm25", 6).alias("bm25"))
+
+
+def _folder(spark, name):
+    return Scratch(spark, name).root
+
+
+def _earlier(spark, sf_dir):
+    """An earlier state of the documents: a fifth not there yet, a seventh with other texts, and some that are gone by now."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = docs.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("old words of "), F.reverse("text"))).otherwise(F.col("text")))
+    return docs, old.unionByName(docs.where("doc_id % 11 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
+
+
+EARLIER_SQL = """
+old AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'old words of ' || reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0
+        UNION ALL SELECT -1 - doc_id, text FROM documents WHERE doc_id % 11 = 0)"""
+
+
+def _changes(docs, old):
+    hashed = lambda rows: rows.select("doc_id", changes.content_hash(F.col("text")).alias("content_hash"))
+    return changes.diff(hashed(old), hashed(docs))
+
+
+@query(f"WITH {EARLIER_SQL} SELECT coalesce(d.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN d.doc_id IS NULL THEN 'gone' WHEN o.text IS NOT DISTINCT FROM d.text THEN 'same' ELSE 'changed' END AS state FROM old o FULL JOIN documents d ON d.doc_id = o.doc_id")
+def q_changes(spark, sf_dir):
+    return _changes(*_earlier(spark, sf_dir))
+
+
+@query(f"WITH {BM25_SQL} SELECT qid, id AS doc_id, rank::INT AS rank, round(bm25, 6) AS bm25 FROM lex")
+def q_bm25_delta(spark, sf_dir):
+    """The index of an earlier state, brought up to date by what changed: the same rows as from one built anew."""
+    docs, old = _earlier(spark, sf_dir)
+    store = postings.Store.create(old, _folder(spark, "postings"))
+    store.apply(*changes.split(_changes(docs, old), docs))
+    return store.search(_asked(spark, sf_dir), 18).select("qid", F.col("id").alias("doc_id"), "rank", F.round("bm25", 6).alias("bm25"))
