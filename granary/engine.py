@@ -41,10 +41,8 @@ class Engine:
         lex = lexical.search(index, queries, 3 * top_k).select("qid", "id", hybrid.lexical_score(compat).alias("score"), "rank")
         lines, asked = self._table("vectors"), self._query_vectors(queries)
         vectors.check_dimensions(lines, asked)
-        # a chunk is as near as its nearest line
-        near = vectors.knn(lines, asked, 9 * top_k, id_="line_id")
-        near = near.join(lines.select(F.col("line_id").alias("id"), "chunk_path"), "id").groupBy("qid", F.col("chunk_path").alias("id")).agg(F.max("score").alias("score"))
-        near = near.withColumn("rank", F.row_number().over(hybrid.Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= 3 * top_k)
+        # a chunk is as near as its nearest line, and takes one place however many of its lines are near
+        near = vectors.knn(lines, asked, 3 * top_k, id_="chunk_path")
         hits = hybrid.merge_and_rank(lex, near, alpha, top_k, prefix_ids=compat)
         chunks = self._table("deduped")
         bare = hits.withColumn("shown", F.col("id")).withColumn("id", F.regexp_replace("id", "^(lex|vec)-", "")) if compat else hits.withColumn("shown", F.col("id"))

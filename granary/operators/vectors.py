@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from granary.functions import text as T
 from granary.functions.similarity import l2_normalize
+from granary.operators import topk
 from granary.storage import Scratch
 
 BATCH = 64
@@ -87,45 +88,34 @@ def check_dimensions(vectors: DataFrame, queries: DataFrame, vector: str = "embe
         raise ValueError(f"vectors of {found[0]} to {found[1]} dimensions")
 
 
-def _packed(rows: DataFrame, slot: str) -> DataFrame:
-    """Rows (id, v, slot) to one row a slot: ids and the vectors end to end."""
-    every = F.collect_list(F.struct("id", "v"))
-    return rows.groupBy(slot).agg(every.alias("all")).select(slot, F.col("all.id").alias("ids"), F.flatten("all.v").alias("flat"))
+#: Numbers in the vectors of one block of rows.
+NUMBERS = 1 << 18
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", qid: str = "qid", vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """(qid, id, score, rank): the k vectors of greatest inner product for each query; ties by id.
+def _sorted_blocks(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Blocks (None, ids ascending, vectors, first vector of each id) of a batch (id, v)."""
+    ids = topk.keys(batch.column(0))
+    if not len(ids):
+        return
+    flat = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(ids), -1)
+    order = np.argsort(ids, kind="stable")
+    step = max(NUMBERS // max(flat.shape[1], 1), 1)
+    for i in range(0, len(order), step):
+        part = order[i : i + step]
+        distinct, first = np.unique(ids[part], return_index=True)
+        yield None, distinct, flat[part], first
 
-    Vectors and queries are packed to blocks of about `block`, dealt out by hash; each
-    block of queries meets each block of vectors in one matrix product that keeps the k
-    best of the block, and the final choice is among those. Nothing goes through the driver.
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id", qid: str = "qid", vector: str = "embedding") -> DataFrame:
+    """(qid, id, score, rank): the k ids of greatest inner product for each query; ties by id.
+
+    An id with several vectors counts once, by its best. Groups of queries go to the rows,
+    which stay where they are; each task keeps k ids a query while its rows go by. Rows and
+    queries without a vector take no part.
     """
     kind, qkind = (dict(d.dtypes)[c] for d, c in ((vectors, id_), (queries, qid)))
     scratch = Scratch(vectors.sparkSession, "knn")
-    rows = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("v"))
-    asked = scratch.save(queries.select(F.col(qid).alias("id"), F.col(vector).alias("v")), "queries")
-    share = lambda n: max(1, -(-n // block))
-    slots, parts = share(rows.count()), share(asked.count())
-    own = _packed(rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int")), "slot")
-    mine = _packed(asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), "part")
-    every = mine.select(F.col("ids").alias("qids"), F.col("flat").alias("qflat"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, flat, qids, qflat = (batch.column(c)[i].values for c in range(4))
-                x, q = (np.asarray(f, np.float64).reshape(len(n), -1) for f, n in ((flat, ids), (qflat, qids)))
-                sims = np.round(q @ x.T, 12)
-                near = np.round(sims, 9)
-                if k < near.shape[1]:
-                    # ties at the k-th place are all kept here; the window below decides by id
-                    edge = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
-                    a, b = np.nonzero(near >= edge)
-                else:
-                    a, b = (z.reshape(-1) for z in np.indices(near.shape))
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(sims[a, b])], names=["qid", "id", "score"])
-
-    met = own.join(every, "slot").select("ids", "flat", "qids", "qflat")
-    out = met.mapInArrow(run, f"qid {qkind}, id {kind}, score double")
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.col(vector).alias("v"))
+    asked = queries.select(F.col(qid).alias("id"), F.col(vector).alias("v"))
+    found = [topk.streamed(rows, group, k, _sorted_blocks, kind, qkind, unique=True) for group in topk.groups(asked, scratch)]
+    return topk.merged([f.groupBy("qid", "id").agg(F.max("score").alias("score")) for f in found], k)

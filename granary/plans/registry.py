@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import prompts, similarity
 from granary.functions import text as T
-from granary.operators import catalog, changes, chunking, dedup, generate, hybrid, lexical, paraphrase, postings, vectors
+from granary.operators import catalog, changes, chunking, dedup, generate, hybrid, ivf, lexical, paraphrase, postings, vectors
 from granary.plans import ingest
 from granary.sources import files
 from granary.sources.extract import html_to_text
@@ -485,3 +485,23 @@ def q_bm25_delta(spark, sf_dir):
     store = postings.Store.create(old, _folder(spark, "postings"))
     store.apply(*changes.split(_changes(docs, old), docs))
     return store.search(_asked(spark, sf_dir), 18).select("qid", F.col("id").alias("doc_id"), "rank", F.round("bm25", 6).alias("bm25"))
+
+
+def _lists(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return rows, rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "qid"), ivf.Lists.build(rows, _folder(spark, "lists"))
+
+
+@query()
+def q_ivf_topk(spark, sf_dir):
+    """Probed lists, as many as a measured recall of 0.95 takes; every row is indexed."""
+    rows, asked, index = _lists(spark, sf_dir)
+    probes, _ = index.tune(rows, 18)
+    return index.search(asked, 18, probes).select("qid", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {KNN_SQL} SELECT qid, id AS vec_id, rank::INT AS rank, round(score, 6) AS score FROM vec")
+def q_ivf_exact(spark, sf_dir):
+    """The same index without loss: lists are left out by their bounds only."""
+    _, asked, index = _lists(spark, sf_dir)
+    return index.search(asked, 18, 2, exact=True).select("qid", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
