@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import prompts, similarity
 from granary.functions import text as T
-from granary.operators import catalog, changes, chunking, dedup, generate, hybrid, ivf, lexical, paraphrase, postings, vectors
+from granary.operators import catalog, changes, chunking, dedup, generate, hybrid, incremental, ivf, keyed, lexical, paraphrase, postings, vectors
 from granary.plans import ingest
 from granary.sources import files
 from granary.sources.extract import html_to_text
@@ -505,3 +505,27 @@ def q_ivf_exact(spark, sf_dir):
     """The same index without loss: lists are left out by their bounds only."""
     _, asked, index = _lists(spark, sf_dir)
     return index.search(asked, 18, 2, exact=True).select("qid", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@query(SQL["q_dedup_keep"])
+def q_dedup_batches(spark, sf_dir):
+    """Three batches by id, each against what the earlier ones kept: the verdicts of one run over all."""
+    docs = table(spark, sf_dir, "documents")
+    most = F.broadcast(docs.agg(F.max("doc_id").alias("most")))  # one row
+    part = docs.join(most).withColumn("part", F.when(F.col("doc_id") * 2 < F.col("most"), 0).when(F.col("doc_id") * 4 < F.col("most") * 3, 1).otherwise(2))
+    corpus = incremental.Corpus(spark, _folder(spark, "corpus"))
+    for batch in range(3):
+        corpus.add(part.where(F.col("part") == batch), batch, native=True)
+    return corpus.verdicts().select(F.col("id").alias("doc_id"), "kept")
+
+
+@query(SQL["q_upsert"])
+def q_upsert_buckets(spark, sf_dir):
+    """The same upsert into a table on disk, of which only the buckets of the new keys are written again."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    half = F.col("event_id") % 2 == 0
+    old, new = (catalog.latest(events.where(w), "user_id", ["ts", "event_id"]) for w in (half, ~half))
+    stored = keyed.KeyedTable.create(old, _folder(spark, "keyed"), "user_id", buckets=16)
+    was = stored.lookup(new).select("user_id", F.struct("ts", "event_id").alias("was"))
+    stored.upsert(new.join(was, "user_id", "left").where(F.col("was").isNull() | (F.struct("ts", "event_id") > F.col("was"))).drop("was"))
+    return stored.rows().select("user_id", "event_id", "event_type")
