@@ -131,7 +131,7 @@ class Store:
     def stats(self) -> DataFrame:
         """One row: number of documents, mean length."""
         sums = self._segments().agg(F.sum("docs").alias("n_docs"), F.sum("total").alias("total"))
-        return sums.select("n_docs", (F.col("total") / F.col("n_docs")).alias("avgdl"))
+        return sums.select("n_docs", F.try_divide("total", "n_docs").alias("avgdl"))
 
     def _alive(self, rows: DataFrame) -> DataFrame:
         """rows (segment, id, ...) that no later segment took away."""
