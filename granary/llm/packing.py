@@ -14,7 +14,8 @@ among pieces of its length (ranked in salted groups, so a length that many piece
 have is no single task's work) and looks up the successor of that rank in the
 placements of its length.
 
-Edges: a null text is empty, and an empty document is the closing id alone. Each
+Edges: a null text is empty, and an empty document is the closing id alone. Strings of
+special tokens in a text are those tokens, as the tokenizer reads them by default. Each
 row is a document of its own, repeated ids and rows too. Ties in length go by
 doc_id and piece. A very long text is encoded whole. doc_id may have any type. An
 empty table gives an empty table; other columns, whatever their names, are ignored.
@@ -46,11 +47,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def _ids(encoder, text: str | None) -> np.ndarray:
-    return np.append(tokens.encode(encoder, text or ""), np.uint32(END_ID)).astype("<u4")
+def _ids(encoder, text: str | None, special: bool = True) -> np.ndarray:
+    return np.append(tokens.encode(encoder, text or "", special), np.uint32(END_ID)).astype("<u4")
 
 
-def pieces(docs: DataFrame, capacity: int, path: str, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int, path: str, with_ids: bool = False, special: bool = True) -> DataFrame:
     """The pieces of docs (doc_id, text): place in the document, length, checksum and, if asked for, ids."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
@@ -59,7 +60,7 @@ def pieces(docs: DataFrame, capacity: int, path: str, with_ids: bool = False) ->
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column(1)):
-                own = _ids(encoder, text.as_py())
+                own = _ids(encoder, text.as_py(), special)
                 for k, (s, n) in enumerate(cut(len(own), capacity)):
                     part = own[s : s + n]
                     rows.append((i, k, s, n, zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))
@@ -131,11 +132,11 @@ def ranked(rows: DataFrame, sizes: dict[int, int], group: int = RANK_GROUP) -> D
     return own.join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own")).drop("salt", "base", "own")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a piece: its document, its place there, its sequence and its offset in that."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc_id: str = "doc_id", text: str = "text", special: bool = True) -> DataFrame:
+    """One row a piece: its document, its place there, its sequence and its offset in that. special=False: strings of special tokens are ordinary text."""
     path = path or tokens.default_path()
     scratch = Scratch(docs.sparkSession, "packing")
-    rows = scratch.save(pieces(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), capacity, path), "pieces")
+    rows = scratch.save(pieces(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), capacity, path, special=special), "pieces")
     sizes = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     sent = docs.sparkSession.sparkContext.broadcast(plan(sizes, capacity))
 
@@ -154,9 +155,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc
     return ranked(rows, sizes).mapInArrow(place, schema)
 
 
-def sequences(docs: DataFrame, packed: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """(sequence_id, ids): the packed sequences themselves. Needs distinct, non-null doc_ids."""
-    own = pieces(docs.select("doc_id", "text"), capacity, path or tokens.default_path(), with_ids=True).select("doc_id", "piece", "ids")
+def sequences(docs: DataFrame, packed: DataFrame, capacity: int = CAPACITY, path: str | None = None, special: bool = True) -> DataFrame:
+    """(sequence_id, ids): the packed sequences themselves. Needs distinct, non-null doc_ids, and `special` as it was."""
+    own = pieces(docs.select("doc_id", "text"), capacity, path or tokens.default_path(), with_ids=True, special=special).select("doc_id", "piece", "ids")
     rows = packed.select("doc_id", "piece", "sequence_id", "offset").join(own, ["doc_id", "piece"])
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return rows.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))

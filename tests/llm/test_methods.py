@@ -75,6 +75,11 @@ def test_ids_are_those_of_the_tokenizer(spark, tokenizer):
         ids = tokens.encode(encoder, t)
         assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
         assert size[ids].sum() == len(t.encode())
+    tokenizer.encode_special_tokens = False
+    for t in ["<|endoftext|>", "a <|endoftext|> \n<|endoftext|><|endoftext|>  b", "<|endoftext|", texts[0]]:
+        ids = tokens.encode(encoder, t, special=True)
+        assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids and size[ids].sum() == len(t.encode())
+    tokenizer.encode_special_tokens = True
 
 
 @pytest.mark.parametrize("n, parts", [(1, [(0, 1)]), (2048, [(0, 2048)]), (2049, [(0, 1), (1, 2048)]), (5000, [(0, 904), (904, 2048), (2952, 2048)])])
@@ -124,8 +129,11 @@ def test_plan_is_best_fit_decreasing():
             assert [o for o, _ in rows] == [sum(x[1] for x in rows[:i]) for i in range(len(rows))] and sum(n for _, n in rows) <= cap
 
 
-def test_pack_round_trip(documents, prose, tokenizer):
-    texts = [(i, prose(i, 5 + 7 * i)) for i in range(40)] + [(50, prose(1, 3000)), (51, None), (52, ""), (0, prose(0, 5)), (None, "x")]
+def test_pack_round_trip(documents, prose):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokens.default_path())
+    texts = [(i, prose(i, 5 + 7 * i)) for i in range(40)] + [(50, prose(1, 3000)), (51, None), (52, ""), (0, prose(0, 5)), (None, "x"), (53, " <|endoftext|>\n<|endoftext|> a")]
     rows = packing.pack(documents(texts), capacity=256).collect()
     whole = {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for i, t in texts}
     for r in rows:
