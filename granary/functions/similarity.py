@@ -66,5 +66,7 @@ def rouge_l(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(lcs(x, y) / longer)
 
 
-def passes_safety(source: Column, out: Column, least: float = 0.75) -> Column:
-    return text.numbers_preserved(source, out) & (rouge_l(source, out) >= least)
+def passes_safety(source: Column, out: Column, least: float = 0.75, names: bool = False) -> Column:
+    """Numbers are kept and enough words are shared; names: no name is new either."""
+    safe = text.numbers_preserved(source, out) & (rouge_l(source, out) >= least)
+    return safe & (F.size(text.new_names(source, out)) == 0) if names else safe

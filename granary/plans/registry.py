@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from granary.functions import prompts, similarity
 from granary.functions import text as T
-from granary.operators import catalog, changes, chunking, dedup, generate, hybrid, incremental, ivf, keyed, lexical, paraphrase, postings, vectors
-from granary.plans import ingest
+from granary.operators import catalog, changes, chunking, dedup, generate, hybrid, incremental, ivf, keyed, lexical, matter, paraphrase, postings, sections, vectors
+from granary.plans import catalogue, ingest
 from granary.sources import files
 from granary.sources.extract import html_to_text
 from granary.storage import Scratch
@@ -529,3 +529,90 @@ def q_upsert_buckets(spark, sf_dir):
     was = stored.lookup(new).select("user_id", F.struct("ts", "event_id").alias("was"))
     stored.upsert(new.join(was, "user_id", "left").where(F.col("was").isNull() | (F.struct("ts", "event_id") > F.col("was"))).drop("was"))
     return stored.rows().select("user_id", "event_id", "event_type")
+
+
+# ---- sections, front matter, names
+
+# every fifth line is a heading, of a level by its number, but not where a line of the text opens a fence
+MARKED_SQL = """
+marked AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 5 = 2 THEN repeat('#', (1 + (i + doc_id) % 4)::INT) || ' ' || left(x, 24) ELSE x END), chr(10)) AS text FROM documents)"""
+
+
+def _marked(spark, sf_dir):
+    # lambdas count from 0 here, from 1 there
+    line = lambda x, i: F.when((i + 1) % 5 == 2, F.concat(F.repeat(F.lit("#"), (1 + (i + 1 + F.col("doc_id")) % 4).cast("int")), F.lit(" "), F.substring(x, 1, 24))).otherwise(x)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+
+
+@query(rf"""
+WITH RECURSIVE {MARKED_SQL},
+l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM marked),
+h AS (SELECT *, length(regexp_extract(line, '^(#{{1,6}})[ \t]+\S', 1)) AS level, regexp_replace(regexp_replace(line, '^#{{1,6}}[ \t]+', ''), '[ \t]+#*[ \t]*$', '') AS title FROM l),
+n AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM h),
+heads AS (SELECT doc_id, s, level, title FROM n WHERE level > 0),
+path AS (SELECT a.doc_id, a.s, array_to_string(list(b.title ORDER BY b.s), ' / ') AS path FROM heads a JOIN heads b ON b.doc_id = a.doc_id AND b.s <= a.s AND (b.s = a.s OR b.level < a.level)
+         AND NOT EXISTS (SELECT 1 FROM heads c WHERE c.doc_id = a.doc_id AND c.s > b.s AND c.s <= a.s AND c.level <= b.level AND c.s <> b.s) GROUP BY ALL),
+body AS (SELECT doc_id, s, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS body FROM n GROUP BY ALL),
+sec AS (SELECT body.doc_id, row_number() OVER (PARTITION BY body.doc_id ORDER BY body.s) AS k, coalesce(path, '') AS path, body, len(regexp_extract_all(body, '\S+')) AS tokens FROM body LEFT JOIN path USING (doc_id, s) WHERE regexp_matches(body, '\S')),
+m AS (SELECT doc_id, k, path, body, tokens, 1 AS c FROM sec WHERE k = 1 UNION ALL
+      SELECT m.doc_id, sec.k, CASE WHEN m.tokens < 40 AND m.tokens + sec.tokens <= 200 THEN m.path ELSE sec.path END, CASE WHEN m.tokens < 40 AND m.tokens + sec.tokens <= 200 THEN m.body || chr(10) || chr(10) || sec.body ELSE sec.body END,
+             CASE WHEN m.tokens < 40 AND m.tokens + sec.tokens <= 200 THEN m.tokens + sec.tokens ELSE sec.tokens END, CASE WHEN m.tokens < 40 AND m.tokens + sec.tokens <= 200 THEN c ELSE c + 1 END
+      FROM m JOIN sec ON sec.doc_id = m.doc_id AND sec.k = m.k + 1),
+whole AS (SELECT doc_id, c, path, body, tokens FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, c ORDER BY k DESC) = 1),
+cut AS (SELECT doc_id, c, path, tokens, body, unnest(range(0, CASE WHEN tokens > 200 THEN tokens ELSE 1 END, 200)) AS pos FROM whole),
+out AS (SELECT doc_id, c, pos, path, CASE WHEN tokens > 200 THEN regexp_replace(array_to_string(regexp_extract_all(body, '\S+\s*')[pos + 1 : pos + 200], ''), '\s+$', '') ELSE body END AS body, CASE WHEN tokens > 200 THEN least(tokens - pos, 200) ELSE tokens END AS tokens FROM cut)
+SELECT doc_id || '#' || (row_number() OVER (PARTITION BY doc_id ORDER BY c, pos) - 1) AS chunk_id, doc_id, path AS section_path, md5(body) AS digest, tokens::INT AS token_count FROM out
+""")
+def q_section_chunks(spark, sf_dir):
+    """The chunks table of all documents, every fifth line of which is made a heading."""
+    return sections.chunks(_marked(spark, sf_dir)).select("chunk_id", "doc_id", "section_path", F.md5("norm_text").alias("digest"), "token_count")
+
+
+@query(r"""
+SELECT doc_id::VARCHAR || '.md' AS doc_id, CASE WHEN doc_id % 4 = 3 THEN regexp_replace(doc_id || '.md', '\.[^.]+$', '') ELSE 'Doc: ' || doc_id END AS title,
+       CASE WHEN doc_id % 4 IN (0, 2) THEN '["' || coalesce(lang, 'none') || '","t' || doc_id % 7 || '"]' END AS tags_json,
+       CASE WHEN doc_id % 4 = 0 THEN '{"created":"' || strftime(DATE '2024-01-01' + (doc_id % 500)::INT, '%Y-%m-%d') || '"}' WHEN doc_id % 4 = 2 THEN '{}' END AS dates_json,
+       CASE WHEN doc_id % 4 = 2 THEN 'wrong type: dates.created' END AS reason, md5(text) AS body FROM documents
+""")
+def q_front_matter(spark, sf_dir):
+    """Typed front matter of documents with a planted block: flow and block lists, dates, a bad date, and none."""
+    n, lang = F.col("doc_id"), F.coalesce("lang", F.lit("none"))
+    head = F.concat(F.lit('---\ntitle: "Doc: '), n.cast("string"), F.lit('"\n'))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (n % 500).cast("int")).cast("string")
+    flow = F.concat(head, F.lit("tags: ["), lang, F.lit(", t"), (n % 7).cast("string"), F.lit("]\ndates:\n  created: "), day, F.lit("\n---\n"))
+    block = F.concat(head, F.lit("tags:\n  - "), lang, F.lit("\n  - t"), (n % 7).cast("string"), F.lit("\ndates:\n  created: soon\n---\n"))
+    text = F.when(n % 4 == 0, F.concat(flow, "text")).when(n % 4 == 2, F.concat(block, "text")).when(n % 4 == 1, F.concat(head, F.lit("---\n"), "text")).otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(n.cast("string"), F.lit(".md")).alias("doc_id"), text.alias("text"))
+    rows = matter.document_rows(docs.withColumnRenamed("doc_id", "doc_path")).select("doc_id", "title", "tags_json", "dates_json", F.md5("body").alias("body"))
+    return rows.join(matter.parsed(docs).select("doc_id", F.col("matter.reason").alias("reason")), "doc_id")
+
+
+NAMES_SQL = T.NAME.replace("'", "''")
+
+
+@query(rf"""
+WITH p AS (SELECT * FROM (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations) WHERE role = 'user' AND reply IS NOT NULL),
+w AS (SELECT conv_id, turn, list_distinct(list_filter(flatten(list_transform(regexp_extract_all(reply, '{NAMES_SQL}'), lambda n: regexp_extract_all(lower(regexp_replace(n, '^[^\p{{Lu}}]+', '')), '{T.WORD.replace("'", "''")}', 1))), lambda x: NOT list_contains(regexp_extract_all(lower(text), '{T.WORD.replace("'", "''")}', 1), x))) AS fresh FROM p)
+SELECT conv_id, turn, len(fresh)::INT AS n_new, array_to_string(list_sort(fresh), ',') AS new_names FROM w
+""")
+def q_new_names(spark, sf_dir):
+    """Words of names in each reply that its question doesn't have: what the safety check of a rewrite refuses."""
+    fresh = T.new_names(F.col("text"), F.col("reply"))
+    return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.size(fresh).alias("n_new"), F.array_join(F.sort_array(fresh), ",").alias("new_names"))
+
+
+@query(r"""
+WITH b AS (SELECT doc_id || '.txt' AS doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM documents),
+t AS (SELECT *, len(regexp_extract_all(body, '\S+')) AS tokens FROM b WHERE regexp_matches(body, '\S')),
+c AS (SELECT *, unnest(range(0, CASE WHEN tokens > 200 THEN tokens ELSE 1 END, 200)) AS pos FROM t)
+SELECT doc_id || '#' || pos // 200 AS chunk_id, doc_id, '' AS section_path, md5(CASE WHEN tokens > 200 THEN regexp_replace(array_to_string(regexp_extract_all(body, '\S+\s*')[pos + 1 : pos + 200], ''), '\s+$', '') ELSE body END) AS digest, (CASE WHEN tokens > 200 THEN least(tokens - pos, 200) ELSE tokens END)::INT AS token_count FROM c
+""")
+def q_catalogue(spark, sf_dir):
+    """Documents and chunks kept up to date from an earlier state: the rows of a table filled at once."""
+    docs, old = _earlier(spark, sf_dir)
+    scan = lambda rows: rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("doc_path"), "text")
+    base = _folder(spark, "catalogue")
+    catalogue.update(scan(old), base, buckets=16)
+    catalogue.update(scan(docs), base, buckets=16)
+    rows = keyed.KeyedTable(spark, f"{base}/chunks").rows()
+    return rows.select("chunk_id", "doc_id", "section_path", F.md5("norm_text").alias("digest"), "token_count")
