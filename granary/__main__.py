@@ -5,8 +5,10 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
 
 from granary.engine import Engine
+from granary.operators import paraphrase
 from granary.plans import ingest
 from granary.server import serve
 from granary.session import session
@@ -21,6 +23,9 @@ def main(argv: list[str] | None = None) -> int:
     one.add_argument("--base", required=True)
     one.add_argument("--config")
     one.add_argument("--only", choices=ingest.STAGES)
+    one.add_argument("--paraphrase", action=argparse.BooleanOptionalAction, help="the rewriting stage, whatever the settings say")
+    one.add_argument("--style", default="")
+    one.add_argument("--rewriter", help="URL of a completion server")
     two = sub.add_parser("search", help="hybrid retrieval")
     two.add_argument("--base", required=True)
     two.add_argument("--top-k", type=int, default=10)
@@ -34,7 +39,11 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "serve":
         serve(engine, args.host, args.port).serve_forever()
     elif args.command == "ingest":
-        print(json.dumps(engine.ingest(args.src, config=Ingest.load(args.config) if args.config else Ingest(), only=args.only)))
+        config = Ingest.load(args.config) if args.config else Ingest()
+        if args.paraphrase is not None:
+            config = replace(config, enable_paraphrase=args.paraphrase)
+        client = paraphrase.http_client(args.rewriter) if args.rewriter else None
+        print(json.dumps(engine.ingest(args.src, config=config, only=args.only, style=args.style, client=client)))
     else:
         asked = [x.strip() for x in sys.stdin] if args.query == "-" else [args.query]
         rows = engine.spark.createDataFrame([(i, q) for i, q in enumerate(asked) if q], "qid int, query string")

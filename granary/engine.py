@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators import generate, hybrid, lexical, vectors
+from granary.operators import generate, hybrid, postings, vectors
 from granary.plans import ingest
 from granary.sources import config
 
@@ -37,8 +37,7 @@ class Engine:
 
     def retrieve(self, queries: DataFrame, top_k: int = 6, alpha: float = 0.5, compat: bool = False) -> DataFrame:
         """(qid, id, text, score, source, rank) of queries (qid, query): both channels, 3 * top_k hits each, fused."""
-        index = lexical.Index(self._table("postings"), self._table("lengths"), stem=True)
-        lex = lexical.search(index, queries, 3 * top_k).select("qid", "id", hybrid.lexical_score(compat).alias("score"), "rank")
+        lex = postings.Store(self.spark, f"{self.base}/index").search(queries, 3 * top_k).select("qid", "id", hybrid.lexical_score(compat).alias("score"), "rank")
         lines, asked = self._table("vectors"), self._query_vectors(queries)
         vectors.check_dimensions(lines, asked)
         # a chunk is as near as its nearest line, and takes one place however many of its lines are near

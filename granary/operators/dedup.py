@@ -10,6 +10,7 @@ never joined on, and what no other class has is counted but not joined at all.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,15 +159,45 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _masks(radius: int) -> list[int]:
+    """Bit masks, one of which two fingerprints within the radius agree in: 2 * radius blocks, of which the radius spoils that many at most."""
+    if radius == 0:
+        return [(1 << 64) - 1]
+    edges = [round(i * 64 / (2 * radius)) for i in range(2 * radius + 1)]
+    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
+    return [sum(c) for c in itertools.combinations(blocks, radius)]
+
+
+def _long(x: int) -> Column:
+    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+
+
 def simhash_pairs(signs: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b, distance), a < b, within the radius: they share one of radius + 1 blocks whole."""
-    blocks = radius + 1
-    width = 64 // blocks
-    rows = signs.where(F.size("items") > 0).select("id", simhash(F.col("items")).alias("sim"))
-    keyed = rows.select("id", "sim", F.posexplode(F.array(*[F.shiftrightunsigned("sim", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(blocks)])).alias("block", "value"))
-    left, right = keyed.toDF("a", "sa", "block", "value"), keyed.toDF("b", "sb", "block", "value")
-    near = left.join(right, ["block", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("sa"), F.col("sb")) <= radius))
-    return near.select("a", "b", hamming(F.col("sa"), F.col("sb")).alias("distance")).distinct()
+    """(a, b, distance), a < b, within the radius: pairs of the least ids of each fingerprint, and each other id of it with that one.
+
+    Two fingerprints within the radius agree in half of 2 * radius blocks, so a key is some 32
+    bits, and few others share it; a pair comes from its first common key. n copies are n - 1 pairs.
+    """
+    masks = _masks(radius)
+    scratch = Scratch(signs.sparkSession, "simhash")
+    rows = scratch.save(signs.where(F.size("items") > 0).select("id", simhash(F.col("items")).alias("sim")), "prints")
+    reps = scratch.save(rows.groupBy("sim").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "reps")
+    keyed = reps.select(F.col("rep").alias("id"), "sim", F.posexplode(F.array(*[F.col("sim").bitwiseAND(_long(m)) for m in masks])).alias("k", "value"))
+    left, right = keyed.toDF("x", "sx", "k", "value"), keyed.toDF("y", "sy", "k", "value")
+    apart = F.col("sx").bitwiseXOR(F.col("sy"))
+    first = F.coalesce(*[F.when(apart.bitwiseAND(_long(m)) == 0, i) for i, m in enumerate(masks)]) == F.col("k")
+    near = left.join(right, ["k", "value"]).where((F.col("x") < F.col("y")) & (hamming(F.col("sx"), F.col("sy")) <= radius) & first)
+    stars = rows.join(reps.where("n > 1"), "sim").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
+    return near.select(F.col("x").alias("a"), F.col("y").alias("b"), hamming(F.col("sx"), F.col("sy")).alias("distance")).unionByName(stars)
+
+
+def simhash_dedup(signs: DataFrame, radius: int = 3) -> DataFrame:
+    """(id, kept) by the first-kept rule over SimHash pairs; a fingerprint's other ids go with what its first one decides."""
+    scratch = Scratch(signs.sparkSession, "simhash")
+    pairs = scratch.save(simhash_pairs(signs, radius), "pairs")
+    copies = pairs.where("distance = 0").select(F.col("b").alias("id"))
+    drop = first_independent(pairs.where("distance > 0")).unionByName(copies).distinct().withColumn("near", F.lit(True))
+    return signs.select("id").join(drop, "id", "left").select("id", F.col("near").isNull().alias("kept"))
 
 
 def _planes(dim: int, bits: int) -> np.ndarray:

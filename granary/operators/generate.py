@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import prompts
+from granary.operators import calls
 
 MESSAGE = "array<struct<role:string,content:string>>"
 
@@ -53,13 +54,24 @@ def echo_answers(asked: DataFrame) -> DataFrame:
     return asked.select("qid", prompts.echo(F.col("messages")).alias("text"), "citations", F.create_map(F.lit("engine"), F.lit("echo")).alias("meta"))
 
 
-def answers(asked: DataFrame, client: Callable[[], Callable[[list[dict], dict], tuple[str, dict]]]) -> DataFrame:
-    """The model's answer to each row. The client is built once in each worker; it takes messages and parameters."""
+def answers(asked: DataFrame, client: Callable[[], Callable[[list[dict], dict], tuple[str, dict]]], window: int = calls.WINDOW, tries: int = 3, wait: float = 0.5) -> DataFrame:
+    """The model's answer to each row. The client is built once in each worker; it takes messages and parameters.
+
+    A task has `window` requests under way. One that fails `tries` times gives a row with a null text and the
+    failure in meta, so the others' answers aren't lost.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = client()
+        model = calls.retried(client(), tries, wait, (Exception,))
+
+        def one(r) -> tuple[str | None, dict]:
+            try:
+                return model([{"role": m["role"], "content": m["content"]} for m in r.messages], {"temperature": r.temperature, "max_tokens": r.max_tokens})
+            except Exception as e:
+                return None, {"error": f"{type(e).__name__}: {e}"}
+
         for part in batches:
-            got = [model([{"role": m["role"], "content": m["content"]} for m in r.messages], {"temperature": r.temperature, "max_tokens": r.max_tokens}) for r in part.itertuples()]
+            got = list(calls.ordered(one, part.itertuples(), window))
             yield pd.DataFrame({"qid": part["qid"], "text": [g[0] for g in got], "citations": part["citations"], "meta": [{str(k): str(v) for k, v in g[1].items()} for g in got]})
 
     return asked.mapInPandas(run, f"qid {dict(asked.dtypes)['qid']}, text string, citations array<string>, meta map<string,string>")

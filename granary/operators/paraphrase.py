@@ -5,21 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import prompts, text
 from granary.functions.similarity import passes_safety
+from granary.operators import calls
 
 Client = Callable[[str], str | None]
 
 
-def paraphrase(docs: DataFrame, cache: DataFrame, style: str, max_new_tokens: int = 256, client: Callable[[], Client] | None = None, column: str = "text", least: float = 0.75) -> DataFrame:
+def paraphrase(docs: DataFrame, cache: DataFrame, style: str, max_new_tokens: int = 256, client: Callable[[], Client] | None = None, column: str = "text", least: float = 0.75, names: bool = False, window: int = calls.WINDOW) -> DataFrame:
     """docs with cache_key, paraphrased and origin (cache, model or source).
 
     cache: (cache_key, output_text). The client is built once in each worker and is
-    asked for the distinct texts the cache lacks. An answer that drops a number, or
-    shares too little with its source, gives way to the source.
+    asked for the distinct texts the cache lacks, `window` at once in each task. An answer
+    that drops a number, or shares too little with its source, or (names) has a new name, gives
+    way to the source.
     """
     keyed = docs.withColumn("cache_key", text.cache_key(F.col(column), F.lit(style), max_new_tokens))
     # an upserted cache has one row a key; of several, the least text, so that every run takes the same
@@ -31,11 +33,11 @@ def paraphrase(docs: DataFrame, cache: DataFrame, style: str, max_new_tokens: in
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = client()
         for part in batches:
-            yield pd.DataFrame({"cache_key": part["cache_key"], "_source": part["source"], "_answer": [model(p) for p in part["prompt"]]})
+            yield pd.DataFrame({"cache_key": part["cache_key"], "_source": part["source"], "_answer": list(calls.ordered(model, part["prompt"], window))})
 
     misses = rows.where("_cached is null").select("cache_key", F.col(column).alias("source")).dropDuplicates(["cache_key"])
     asked = misses.select("cache_key", "source", prompts.rewrite_prompt(F.lit(style), F.col("source")).alias("prompt")).mapInPandas(ask, "cache_key string, _source string, _answer string")
-    safe = F.col("_answer").isNotNull() & F.coalesce(passes_safety(F.col("_source"), F.coalesce("_answer", F.lit("")), least), F.lit(False))
+    safe = F.col("_answer").isNotNull() & F.coalesce(passes_safety(F.col("_source"), F.coalesce("_answer", F.lit("")), least, names), F.lit(False))
     answers = asked.select("cache_key", F.when(safe, F.col("_answer")).alias("_answer"))
     out = rows.join(answers, "cache_key", "left")
     origin = F.when(F.col("_cached").isNotNull(), F.lit("cache")).when(F.col("_answer").isNotNull(), F.lit("model")).otherwise(F.lit("source"))
@@ -93,10 +95,15 @@ def first_answer(*clients: Callable[[], Client]) -> Callable[[], Client]:
     return build
 
 
-def stats(done: DataFrame) -> DataFrame:
-    """One row of counts: inputs, rewritten, cache_hits, passed_through."""
+def counters() -> list[Column]:
+    """inputs, rewritten, cache_hits, passed_through of rows with an origin."""
     of = lambda o: F.count_if(F.col("origin") == o)
-    return done.agg(F.count("*").alias("inputs"), of("model").alias("rewritten"), of("cache").alias("cache_hits"), of("source").alias("passed_through"))
+    return [F.count("*").alias("inputs"), of("model").alias("rewritten"), of("cache").alias("cache_hits"), of("source").alias("passed_through")]
+
+
+def stats(done: DataFrame) -> DataFrame:
+    """One row of the counters."""
+    return done.agg(*counters())
 
 
 def command_client(command: list[str], timeout: int = 60) -> Callable[[], Client]:

@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from granary.functions import text as T
 from granary.functions.similarity import l2_normalize
-from granary.operators import topk
+from granary.operators import calls, topk
 from granary.storage import Scratch
 
 BATCH = 64
@@ -48,8 +48,8 @@ def embed(docs: DataFrame, factory: Callable[[], Callable[[list[str]], np.ndarra
     return docs.withColumn(out, run(F.col(text)))
 
 
-def http_embedder(host: str, model: str, timeout: int = 30) -> Callable[[], Callable[[list[str]], np.ndarray]]:
-    """A factory for `embed` that asks a server's /api/embeddings, a text a request; a failure is an error."""
+def http_embedder(host: str, model: str, timeout: int = 30, window: int = calls.WINDOW, tries: int = 3) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """A factory for `embed` that asks a server's /api/embeddings, a text a request, `window` at once; the last of `tries` failures is an error."""
 
     def build() -> Callable[[list[str]], np.ndarray]:
         import json
@@ -60,7 +60,8 @@ def http_embedder(host: str, model: str, timeout: int = 30) -> Callable[[], Call
             with urllib.request.urlopen(urllib.request.Request(f"{host}/api/embeddings", body, {"Content-Type": "application/json"}), timeout=timeout) as r:
                 return json.load(r)["embedding"]
 
-        return lambda texts: np.array([one(t) for t in texts], np.float32)
+        again = calls.retried(one, tries)
+        return lambda texts: np.array(list(calls.ordered(again, texts, window)), np.float32)
 
     return build
 

@@ -1,4 +1,4 @@
-"""A small HTTP surface over an Engine: POST /chat, GET /retrieve, GET /bots, GET /health.
+"""A small HTTP surface over an Engine: POST /chat, GET /retrieve, GET /bots, GET /, /health and /healthz.
 
 Each request is a table of one row. For batches, call the Engine with tables.
 """
@@ -40,7 +40,7 @@ def answer(engine: Engine, method: str, target: str, body: bytes = b"") -> tuple
     url = urlsplit(target)
     asked = {k: v[0] for k, v in parse_qs(url.query).items()}
     try:
-        if (method, url.path) == ("GET", "/health"):
+        if method == "GET" and url.path in ("/", "/health", "/healthz"):
             return 200, engine.health()
         if (method, url.path) == ("GET", "/bots"):
             return 200, {"bots": engine.bots()}
@@ -56,6 +56,8 @@ def answer(engine: Engine, method: str, target: str, body: bytes = b"") -> tuple
             return 200, chat(engine, got)
     except ValueError as e:  # BadRequest, JSON, numbers
         return 422, {"detail": str(e)}
+    except Exception as e:
+        return 500, {"detail": f"{type(e).__name__}: {e}"}
     return 404, {"detail": "not found"}
 
 

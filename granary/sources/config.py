@@ -25,6 +25,8 @@ class Ingest:
     max_mb: float = 32.0
     enable_paraphrase: bool = False
     ocr_images: bool = False
+    dedup_simhash: bool = False
+    dedup_semantic: bool = False
 
     @classmethod
     def load(cls, path: str | Path) -> Ingest:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
@@ -71,11 +71,16 @@ def read_texts(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(T.relative_to(path, [root.replace("file://", "")]).alias("doc_path"), F.col("value").alias("text"))
 
 
-def stats(files: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """One row, or one for each group: processed, written, skipped_size, skipped_ext, failed, ocr_used."""
+def counters() -> list[Column]:
+    """processed, written, skipped_size, skipped_ext, failed, ocr_used of rows (status, ext)."""
     is_ = lambda *s: F.count_if(F.col("status").isin(*s))
     ocr = F.count_if((F.col("status") == "ok") & F.col("ext").isin(*IMAGES))
-    return files.groupBy(*by).agg(is_("ok", "failed").alias("processed"), is_("ok").alias("written"), is_("skipped_size").alias("skipped_size"), is_("skipped_ext").alias("skipped_ext"), is_("failed").alias("failed"), ocr.alias("ocr_used"))
+    return [is_("ok", "failed").alias("processed"), is_("ok").alias("written"), is_("skipped_size").alias("skipped_size"), is_("skipped_ext").alias("skipped_ext"), is_("failed").alias("failed"), ocr.alias("ocr_used")]
+
+
+def stats(files: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """One row, or one for each group, of the counters."""
+    return files.groupBy(*by).agg(*counters())
 
 
 def write_log(spark: SparkSession, stats: dict, path: str) -> None:
