@@ -146,10 +146,11 @@ def test_simhash_distance(spark):
     assert {(r.a, r.b, r.distance) for r in dedup.simhash_pairs(df, 3).collect()} == {(0, 1, 0)}
 
 
-def test_knn(spark):
+def test_knn(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "NUMBERS", 32)  # blocks of two vectors
     x = np.random.default_rng(42).random((30, 16)).astype(np.float32)
     df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id int, embedding array<float>")
-    got = vectors.knn(df, df.where("vec_id < 5").withColumnRenamed("vec_id", "qid"), 4, block=2).collect()
+    got = vectors.knn(df, df.where("vec_id < 5").withColumnRenamed("vec_id", "qid"), 4).collect()
     sims = x.astype(np.float64) @ x.astype(np.float64).T
     assert {(r.qid, r.rank): r.id for r in got} == {(q, k + 1): int(np.argsort(-sims[q], kind="stable")[k]) for q in range(5) for k in range(4)}
     with pytest.raises(ValueError):
