@@ -24,13 +24,8 @@ def tokens(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"\S+")).cast("int")
 
 
-def tree(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, section, path, body, tokens): the text before the first heading, and each heading with what follows it.
-
-    path: the titles from the outermost heading to the section's own; a heading closes those of
-    its level and below. Lines in fences are no headings. Sections without a word are left out,
-    and a null or empty text has none.
-    """
+def _sections(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, _all): the array of a document's sections, _SECTION each."""
     rows = docs.select(F.col(key).alias("_key"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("_lines"))
     fence = F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(r"^ {0,3}(```|~~~)"), i)), lambda i: i.isNotNull())
     level = lambda x: F.length(F.regexp_extract(x, r"^(#{1,6})[ \t]+\S", 1))
@@ -58,7 +53,17 @@ def tree(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     bodies = F.transform("_at", cut)
     rows = _once(rows, ["_key", "_paths"], _bodies=bodies)
     made = F.transform("_bodies", lambda b, i: F.named_struct(F.lit("path"), F.element_at("_paths", i + 1), F.lit("body"), b, F.lit("tokens"), tokens(b)))
-    out = rows.select(F.col("_key").alias(key), F.posexplode(F.filter(made, lambda s: s["tokens"] > 0)).alias("section", "_s"))
+    return _once(rows.withColumnRenamed("_key", key), [key], _all=F.filter(made, lambda s: s["tokens"] > 0))
+
+
+def tree(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, section, path, body, tokens): the text before the first heading, and each heading with what follows it.
+
+    path: the titles from the outermost heading to the section's own; a heading closes those of
+    its level and below. Lines in fences are no headings. Sections without a word are left out,
+    and a null or empty text has none.
+    """
+    out = _sections(docs, key, text).select(key, F.posexplode("_all").alias("section", "_s"))
     return out.select(key, "section", "_s.path", "_s.body", "_s.tokens")
 
 
@@ -69,8 +74,7 @@ def chunks(docs: DataFrame, least: int = 40, most: int = 200, key: str = "doc_id
     more than `most`; it keeps its first section's path. Chunks of more than `most` are cut every
     `most` words. chunk_id: the key, and the chunk's number from 0.
     """
-    own = tree(docs, key, text)
-    rows = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section", "path", "body", "tokens"))).alias("_all"))  # one document's sections
+    rows = _sections(docs, key, text)
 
     def take(out: Column, s: Column) -> Column:
         one = F.named_struct(F.lit("path"), s["path"], F.lit("body"), s["body"], F.lit("tokens"), s["tokens"])
