@@ -7,6 +7,7 @@ import threading
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from granary.engine import Engine
@@ -156,3 +157,21 @@ def test_command_line_and_failures(spark, tmp_path, capsys, monkeypatch):
     assert command.main(["search", "--base", base, "harbour"]) == 0 and "a.txt" in capsys.readouterr().out
     engine = Engine(spark, str(tmp_path / "nowhere"))
     assert [server.answer(engine, "GET", p)[0] for p in ("/", "/health", "/healthz", "/retrieve?query=x")] == [200, 200, 200, 500]
+
+
+def test_simhash_join_is_no_broadcast(spark):
+    """Each fingerprint is a row for each mask, so a table of them that looks small isn't sent to the driver."""
+    signs = spark.range(50).select("id", F.array(F.xxhash64("id"), F.xxhash64(F.col("id") + 1)).alias("items"))
+    plan = dedup.simhash_pairs(signs, 3)._jdf.queryExecution().executedPlan().toString()
+    near = [line for line in plan.split("\n") if "Join [k" in line]
+    assert near and all("SortMergeJoin" in line for line in near)
+
+
+def test_simhash_is_the_majority_of_each_bit(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BITS_ITEMS", 7)
+    rng = random.Random(3)
+    sets = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (0, 1, 2, 3, 20, 0, 5, 1)]
+    majority = lambda s: sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in s) >= len(s))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    got = dedup.simhash.func(pa.array([*sets, None], pa.list_(pa.int64()))).to_pylist()
+    assert got == [*[signed(majority(s)) for s in sets], 0]
