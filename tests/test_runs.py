@@ -175,3 +175,26 @@ def test_simhash_is_the_majority_of_each_bit(spark, monkeypatch):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     got = dedup.simhash.func(pa.array([*sets, None], pa.list_(pa.int64()))).to_pylist()
     assert got == [*[signed(majority(s)) for s in sets], 0]
+
+
+def test_exact_vector_pairs_deal_each_vector_a_fixed_number_of_times(spark, monkeypatch):
+    """Blocks grow with the vectors, not their number; products of parts of blocks give the same pairs."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((90, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist(), None if i % 3 == 0 else "g") for i, x in enumerate(v)], "vec_id long, embedding array<double>, label string")
+    group = [None if i % 3 == 0 else "g" for i in range(90)]
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if v[i] @ v[j] >= (0.6 if group[i] == group[j] else 0.7)}
+    names, save = [], dedup.Scratch.save
+
+    def spy(self, df, name, *more):
+        out = save(self, df, name, *more)
+        if name == "blocks":
+            names.append(out.count())
+        return out
+
+    monkeypatch.setattr(dedup.Scratch, "save", spy)
+    monkeypatch.setattr(dedup, "GRID", 3)
+    monkeypatch.setattr(dedup, "PRODUCT", 100)
+    got = [(r.a, r.b) for r in dedup.semantic_pairs(rows, 0.6, 0.7, group="label", exact=True, block=5).collect()]
+    assert names == [3] and len(got) == len(want) and set(got) == want
