@@ -6,10 +6,12 @@ they differ in nothing but what they counted: the target model the rows whose id
 target, the background model all others. Every row is counted in one of them, and
 counts of all words and bigrams are gathered from every task. The vocabulary and the
 table grow with the tokens of the corpus, a word in WORD_SHARE tokens and a bucket in
-BUCKET_SHARE. The table grows without end: what exceeds the memory that a worker is meant
-to give it is held in parts of MOST_BUCKETS, and the documents are read once for
-each part, which adds the losses of the words whose bigrams it has. The vocabulary has at
-most MOST_WORDS, and all other words are one (both are parameters of the call).
+BUCKET_SHARE. The table grows without end, and no task holds it: blocks of documents
+send the buckets that they have to the parts of the table, PART_BUCKETS each, where their counts
+are added up, and each block gets the sums of its own buckets back. So the texts are read twice,
+for the vocabulary and for the blocks, whatever the number of parts, and a part has as many
+entries at any size. The vocabulary has at most MOST_WORDS, and all other words are one
+(both are parameters of the call).
 
 The background has many times the target's words. So that the two are comparable its
 counts are divided by the ratio of their tokens before they are smoothed: both models
@@ -34,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ from granary.llm.storage import Scratch
 
 WORD_SHARE, LEAST_WORDS, MOST_WORDS = 16, 1 << 16, 1 << 19
 BUCKET_SHARE, LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 20, 1 << 22
+#: Buckets of a part of the table to which blocks of documents send their own; words of such a block, or one text.
+PART_BUCKETS, BLOCK_WORDS = 1 << 19, 1 << 19
 #: Leading bits of a count that the histogram of counts keeps.
 PRECISION = 8
 MASS = 20.0
@@ -121,28 +125,51 @@ def vocabulary(counts: DataFrame, size: int) -> DataFrame:
     return counts.where(F.col("n") >= F.lit(least) if least is not None else F.lit(False)).select("word")
 
 
-def encode(h: np.ndarray, doc: np.ndarray, vocab: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids, the ids before them, and buckets of both."""
+def word_ids(h: np.ndarray, vocab: np.ndarray) -> np.ndarray:
     n = len(vocab)
-    if n:
-        at = np.minimum(np.searchsorted(vocab, h), n - 1)
-        ids = np.where(vocab[at] == h, at, n)
-    else:
-        ids = np.zeros(len(h), np.int64)
+    if not n:
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(vocab, h), n - 1)
+    return np.where(vocab[at] == h, at, n)
+
+
+def chained(ids: np.ndarray, doc: np.ndarray, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids before those of a vocabulary of n words, and buckets of both."""
     before = np.empty_like(ids)
     if len(ids):
         before[0] = n + 1
         before[1:] = np.where(doc[1:] == doc[:-1], ids[:-1], n + 1)
-    return ids, before, (words.mix(before.astype(np.uint64) * np.uint64(n + 2) + ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    return before, (words.mix(before.astype(np.uint64) * np.uint64(n + 2) + ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def fit(docs: DataFrame, scratch: Scratch, most_words: int = MOST_WORDS, most_buckets: int = MOST_BUCKETS) -> Iterator[Models]:
-    """docs: text, target (boolean, not null). The models, with one part of the table after the other."""
+def encode(h: np.ndarray, doc: np.ndarray, vocab: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word ids, the ids before them, and buckets of both."""
+    ids = word_ids(h, vocab)
+    return ids, *chained(ids, doc, len(vocab), buckets)
+
+
+def shape(docs: DataFrame, scratch: Scratch, most_words: int) -> tuple[np.ndarray, int]:
+    """The vocabulary, sorted, and the number of buckets that docs (text) ask for."""
     counts = scratch.save(word_counts(docs), "words")
     tokens = counts.agg(F.sum("n")).first()[0] or 0
     top = vocabulary(counts, sized(tokens, WORD_SHARE, LEAST_WORDS, most_words)).toArrow()
     vocab = np.sort(np.asarray(top.column(0).combine_chunks()).view(np.uint64)) if top.num_rows else np.zeros(0, np.uint64)
-    n, buckets = len(vocab), sized(tokens, BUCKET_SHARE, LEAST_BUCKETS, 1 << 62)
+    return vocab, sized(tokens, BUCKET_SHARE, LEAST_BUCKETS, 1 << 62)
+
+
+def _dense(cells: DataFrame, start: int, width: int) -> np.ndarray:
+    """2 x width counts of (cell, t, b)."""
+    got = cells.where(F.col("cell").between(start, start + width - 1)).toArrow()  # a row a cell at most
+    flat = np.zeros((2, width), np.float64)
+    for i in (0, 1):
+        flat[i, np.asarray(got.column(0)) - start] = np.asarray(got.column(1 + i))
+    return flat
+
+
+def fit(docs: DataFrame, scratch: Scratch, most_words: int = MOST_WORDS, most_buckets: int = MOST_BUCKETS) -> Iterator[Models]:
+    """docs: text, target (boolean, not null). The models, with one part of the table after the other, for callers that want them; score needs no table."""
+    vocab, buckets = shape(docs, scratch, most_words)
+    n = len(vocab)
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
     bases = [0, n + 1, 2 * n + 3]
 
@@ -179,82 +206,161 @@ def fit(docs: DataFrame, scratch: Scratch, most_words: int = MOST_WORDS, most_bu
     cells = docs.select("text", "target").mapInArrow(run, "cell long, t long, b long").groupBy("cell").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
     cells = scratch.save(cells, "models")
 
-    def dense(start: int, width: int) -> np.ndarray:
-        got = cells.where(F.col("cell").between(start, start + width - 1)).toArrow()  # a row a cell at most
-        flat = np.zeros((2, width), np.float64)
-        for i in (0, 1):
-            flat[i, np.asarray(got.column(0)) - start] = np.asarray(got.column(1 + i))
-        return flat
-
-    unigram, context = dense(0, n + 1), dense(n + 1, n + 2)
+    unigram, context = _dense(cells, 0, n + 1), _dense(cells, n + 1, n + 2)
     width = min(buckets, most_buckets)
     for first in range(0, buckets, width):
-        yield Models(vocab, unigram, context, dense(bases[2] + first, min(width, buckets - first)), first, buckets)
+        yield Models(vocab, unigram, context, _dense(cells, bases[2] + first, min(width, buckets - first)), first, buckets)
 
 
-def losses(models: Models, h: np.ndarray, doc: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the words whose bigrams are in this part of the table: their texts' numbers, and 2 x words, the loss under the target and the background model."""
-    ids, before, bucket = encode(h, doc, models.vocab, models.buckets)
-    at = np.flatnonzero((bucket >= models.first) & (bucket < models.first + models.bigram.shape[1]))
+@dataclass
+class Frame:
+    """What every task has of the models: all but the counts of bigrams."""
 
-    def own(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    vocab: np.ndarray  # sorted word hashes
+    buckets: int
+    width: int  # of a part
+    unigram: np.ndarray | None = None  # as in Models
+    context: np.ndarray | None = None
+
+
+def losses(frame: Frame, ids: np.ndarray, doc: np.ndarray, target: np.ndarray, bucket: np.ndarray, before: np.ndarray, bigram: np.ndarray) -> np.ndarray:
+    """2 x words: the loss of each word under the target and the background model. bigram: 2 x words, the counts of the words' buckets."""
+
+    def own(x: np.ndarray) -> np.ndarray:
         """How often the word's document has the word's x."""
         _, back, count = np.unique(doc * np.int64(1 << 32) + x, return_inverse=True, return_counts=True)
         return count[back]
 
-    whole = np.bincount(doc) if len(doc) else doc
-    mine = [own(ids, doc)[at], own(before, doc)[at]]
-    ids, before, bucket, doc = ids[at], before[at], bucket[at] - models.first, doc[at]
-    mine += [own(bucket, doc), whole[doc]]
-    out = np.empty((2, len(at)))
-    all_ = models.unigram.sum(axis=1, dtype=np.float64)
+    whole = np.bincount(doc)[doc] if len(doc) else doc
+    mine = [own(ids), own(before), own(bucket)]
+    out = np.empty((2, len(ids)))
+    all_ = frame.unigram.sum(axis=1, dtype=np.float64)
     for s in (0, 1):
         out_of = (target[doc] == (s == 0)).astype(np.int64)
         # the larger model's counts, in units that give it as many tokens as the smaller
         unit = min(1.0, all_[1 - s] / all_[s]) if all_.all() else 1.0
-        uni, con, bi = (unit * (c[s][x].astype(np.float64) - out_of * m) for c, x, m in zip((models.unigram, models.context, models.bigram), (ids, before, bucket), mine))
-        low = (uni + 1.0) / (unit * (all_[s] - out_of * mine[3]) + len(models.vocab) + 1.0)
+        uni, con, bi = (unit * (c.astype(np.float64) - out_of * m) for c, m in zip((frame.unigram[s][ids], frame.context[s][before], bigram[s]), mine))
+        low = (uni + 1.0) / (unit * (all_[s] - out_of * whole) + len(frame.vocab) + 1.0)
         out[s] = -np.log((np.minimum(bi, con) + MASS * low) / (con + MASS))
-    return doc, out
+    return out
+
+
+def _distinct(bucket: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets in order, and 2 x their counts in targets and others."""
+    kept, back = np.unique(bucket, return_inverse=True)
+    return kept, np.stack([np.bincount(back[other == s], minlength=len(kept)) for s in (0, 1)]).astype(np.int32)
 
 
-def _added(sent: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]]:
-    """Rows (text, target, doc_id, sum_t, sum_b), their texts' words, and the sums with this part's losses."""
-    for batch in batches:
-        for part in words.slices(batch, 0):
-            h, doc, n = _hashed(part.column(0))
-            has, each = losses(sent.value, h, doc, np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool))
-            yield part, np.bincount(doc, minlength=n), [np.asarray(part.column(3 + s)) + np.bincount(has, each[s], n) for s in (0, 1)]
+def _packed(x: np.ndarray) -> pa.Array:
+    return pa.array([x.astype(np.int32).tobytes()], pa.binary())
 
 
-def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", most_words: int = MOST_WORDS, most_buckets: int = MOST_BUCKETS) -> DataFrame:
+def blocks(rows: DataFrame, frame: Broadcast, id_type: str) -> DataFrame:
+    """rows (text, target, doc_id) in three kinds of rows, by `part`.
+
+    -1: a block of documents (ids: of all words; sizes: words of each document). 0 and more: the buckets of a
+    block in this part of the table (at: from the part's first), with their counts (t, b). -2: how often a
+    cell, a word or n + 1 and a word before another, occurs in the task's documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, buckets, width = len(frame.value.vocab), frame.value.buckets, frame.value.width
+        cells = np.zeros((2, 2 * n + 3), np.int64)
+        number = TaskContext.get().partitionId() << 32
+        held, size, schema = [], 0, None
+
+        def put(rows: int, **made: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+        def block() -> Iterator[pa.RecordBatch]:
+            ids, sizes = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            target, doc_id = (pa.concat_arrays([x[i] for x in held]) for i in (2, 3))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            other = np.where(np.asarray(target.to_numpy(zero_copy_only=False), bool), 0, 1)[doc]
+            before, bucket = chained(ids, doc, n, buckets)
+            for s in (0, 1):
+                cells[s] += np.bincount(ids[other == s], minlength=2 * n + 3) + np.bincount(before[other == s] + n + 1, minlength=2 * n + 3)
+            key, whole = pa.array([number], pa.int64()), pa.array([0, len(sizes)], pa.int32())
+            yield put(1, block=key, part=pa.array([-1], pa.int32()), ids=_packed(ids), sizes=_packed(sizes), targets=pa.ListArray.from_arrays(whole, target), doc_ids=pa.ListArray.from_arrays(whole, doc_id))
+            kept, times = _distinct(bucket, other)
+            part = kept // width
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(kept)] if len(kept) else []
+            for a, b in zip(cuts, cuts[1:]):
+                yield put(1, block=key, part=pa.array([part[a]], pa.int32()), at=_packed(kept[a:b] - part[a] * width), t=_packed(times[0, a:b]), b=_packed(times[1, a:b]))
+
+        for batch in batches:
+            if schema is None:
+                some = [("block", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in ("at", "t", "b", "ids", "sizes"))]
+                schema = pa.schema([*some, ("targets", pa.list_(batch.column(1).type)), ("doc_ids", pa.list_(batch.column(2).type)), *((c, pa.int64()) for c in ("cell", "n_t", "n_b"))])
+            for piece in words.slices(batch, 0):
+                h, doc, rows_ = _hashed(piece.column(0))
+                held.append((word_ids(h, frame.value.vocab), np.bincount(doc, minlength=rows_) if len(doc) else np.zeros(rows_, np.int64), piece.column(1), piece.column(2)))
+                size += len(h) + rows_
+                if size >= BLOCK_WORDS:
+                    yield from block()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield from block()
+        found = np.flatnonzero(cells.any(axis=0))
+        for at in range(0, len(found), 100_000):
+            some = found[at : at + 100_000]
+            yield put(len(some), part=pa.array(np.full(len(some), -2), pa.int32()), cell=pa.array(some), n_t=pa.array(cells[0, some]), n_b=pa.array(cells[1, some]))
+
+    kinds = f"block long, part int, at binary, t binary, b binary, ids binary, sizes binary, targets array<boolean>, doc_ids array<{id_type}>, cell long, n_t long, n_b long"
+    return rows.mapInArrow(run, kinds)
+
+
+def _counts(column: pa.ChunkedArray) -> np.ndarray:
+    """The numbers of packed rows, end to end."""
+    return np.concatenate([np.frombuffer(x, np.int32) for x in column.to_pylist()] or [np.zeros(0, np.int32)])
+
+
+def sums(asked: DataFrame, width: int) -> DataFrame:
+    """(block, part, at, t, b) with the sums over all blocks for t and b, in 64 bits; at is left out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes = [len(x) // 4 for x in table.column("at").to_pylist()]
+        at = _counts(table.column("at"))
+        total = [np.bincount(at, _counts(table.column(c)), width).astype(np.int64)[at] for c in ("t", "b")]
+        ends = np.cumsum([0, *sizes])
+        out = [pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()) for x in total]
+        return pa.table([table.column("block"), table.column("part"), *out], names=["block", "part", "t", "b"])
+
+    return asked.groupBy("part").applyInArrow(run, "block long, part int, t binary, b binary")
+
+
+def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", most_words: int = MOST_WORDS, most_buckets: int = PART_BUCKETS) -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score) of each row; a lower score is more like the target.
 
     targets: a column doc_id. The losses and their difference, the score, are means a token, in nats.
+    most_buckets: of a part of the table; it has no part in the result.
     """
     scratch, context = Scratch(docs.sparkSession, "lmscore"), docs.sparkSession.sparkContext
     ids = scratch.save(targets.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct(), "targets").withColumn("_t", F.lit(True))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, F.col("doc_id") == F.col("_id"), "left")
     rows = rows.select("text", F.coalesce("_t", F.lit(False)).alias("target"), "doc_id")
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    summed = rows.select("*", F.lit(0.0).alias("sum_t"), F.lit(0.0).alias("sum_b"))
-    for models in fit(rows, scratch, most_words, most_buckets):
-        sent = context.broadcast(models)
-        if models.first + models.bigram.shape[1] == models.buckets:
-            break
-
-        def carry(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
-            for part, _, sums in _added(sent, batches):
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, sums)], names=["text", "target", "doc_id", "sum_t", "sum_b"])
-
-        summed = scratch.save(summed.mapInArrow(carry, f"text string, target boolean, doc_id {id_type}, sum_t double, sum_b double"), f"sums-{models.first}")
-        sent.destroy()
-        scratch.keep("targets", "models", f"sums-{models.first}")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, count, sums in _added(sent, batches):
-            mean = [x / np.maximum(count, 1) for x in sums]
-            cols = [pa.array(x, mask=count == 0) for x in (*mean, mean[0] - mean[1])]
-            yield pa.RecordBatch.from_arrays([part.column(2), pa.array(count.astype(np.int64)), *cols], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return summed.mapInArrow(run, f"doc_id {id_type}, n_tokens long, loss_target double, loss_background double, score double")
+    vocab, buckets = shape(rows, scratch, most_words)
+    n, width = len(vocab), min(buckets, most_buckets)
+    made = scratch.save(blocks(rows, context.broadcast(Frame(vocab, buckets, width)), id_type), "blocks")
+    cells = scratch.save(made.where("part = -2").groupBy("cell").agg(F.sum("n_t").alias("t"), F.sum("n_b").alias("b")), "cells")
+    sent = context.broadcast(Frame(vocab, buckets, width, _dense(cells, 0, n + 1), _dense(cells, n + 1, n + 2)))
+    told = scratch.save(sums(made.where("part >= 0").select("part", "block", "at", "t", "b"), width), "sums")
+
+    def run(documents: pa.Table, found: pa.Table) -> pa.Table:
+        """Of one block."""
+        frame, found = sent.value, found.sort_by("part")
+        word, sizes = _counts(documents.column("ids")).astype(np.int64), _counts(documents.column("sizes"))
+        target = np.asarray(documents.column("targets").combine_chunks().flatten().to_numpy(zero_copy_only=False), bool)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        before, bucket = chained(word, doc, len(frame.vocab), frame.buckets)
+        back = np.unique(bucket, return_inverse=True)[1]
+        bigram = [np.concatenate([np.frombuffer(x, np.int64) for x in found.column(c).to_pylist()] or [np.zeros(0, np.int64)])[back] for c in ("t", "b")]
+        each = losses(frame, word, doc, target, bucket, before, bigram)
+        mean = [np.bincount(doc, each[s], len(sizes)) / np.maximum(sizes, 1) for s in (0, 1)]
+        cols = [pa.array(x, mask=sizes == 0) for x in (*mean, mean[0] - mean[1])]
+        return pa.table([documents.column("doc_ids").combine_chunks().flatten(), pa.array(sizes.astype(np.int64)), *cols], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+
+    texts = made.where("part = -1").select("block", "ids", "sizes", "targets", "doc_ids")
+    both = texts.groupBy("block").cogroup(told.groupBy("block"))
+    return both.applyInArrow(run, f"doc_id {id_type}, n_tokens long, loss_target double, loss_background double, score double")

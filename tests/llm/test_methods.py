@@ -385,6 +385,33 @@ def test_a_table_in_parts_gives_the_losses_of_the_whole_one(spark, documents, pr
     assert sum(m.bigram.sum() for m in found) == sum(r.n_tokens for r in one) and {m.buckets for m in found} == {lmscore.LEAST_BUCKETS}
 
 
+def test_texts_are_read_as_often_whatever_the_number_of_parts(spark, documents, prose):
+    """Blocks of documents meet the parts of the table; before, each part read all texts again."""
+    docs = documents([(i, prose(i, 40) + f" w{i}") for i in range(20)])
+    targets = spark.createDataFrame([(i,) for i in range(0, 20, 3)], "doc_id long")
+
+    def rows_read(parts):
+        seen = spark.sparkContext.accumulator(0)
+
+        def look(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        looked = docs.mapInArrow(look, docs.schema)
+        assert len(lmscore.score(looked, targets, most_buckets=lmscore.LEAST_BUCKETS // parts).collect()) == 20
+        return seen.value
+
+    assert 0 < rows_read(16) == rows_read(1) <= 2 * 20
+
+
+def test_scores_over_several_blocks_are_those_of_one(spark, documents, prose):
+    docs = documents([(i, prose(i % 7, 40) + f" w{i}") for i in range(30)] + [(None, prose(1, 9)), (3, None), (4, "")])
+    targets = spark.createDataFrame([(i,) for i in range(0, 30, 4)], "doc_id long")
+    by = lambda docs: sorted((str(r.doc_id), r.n_tokens, *(x is None or round(x, 9) for x in r[2:])) for r in lmscore.score(docs, targets).collect())
+    assert by(docs.coalesce(1)) == by(docs.repartition(7)) and len(by(docs)) == 33
+
+
 def test_models_grow_with_the_corpus(spark):
     assert [lmscore.sized(n, 8, 16, 1024) for n in (0, 100, 129, 1000, 10**9)] == [16, 16, 32, 128, 1024]
     counts = spark.createDataFrame([(i, n) for i, n in enumerate([9, 9, 5, 5, 5, 1000, 1001, 1])], "word long, n long")
