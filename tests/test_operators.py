@@ -254,3 +254,27 @@ def test_chat_golden(spark):
 
     assert generate.answers(turns, client).first().text == "user"
     assert generate.pick_client({}) is None
+
+
+def test_prefixes_lose_no_pair_and_few_others_are_weighed(spark, monkeypatch):
+    """Pairs are those of brute force with many items late in the order."""
+    r = random.Random(5)
+    sets = [[*range(r.randint(0, 3)), *(r.randint(0, 40) for _ in range(r.randint(1, 12)))] for _ in range(150)]
+    sets = [sorted(set(s)) for s in sets]
+    sets += [sorted({*s[:-1], 99}) for s in sets[:60]]
+    signs = spark.createDataFrame(list(enumerate(sets)), "id long, items array<bigint>")
+    least = {}
+    for i, s in enumerate(sets):
+        least.setdefault(tuple(s), i)
+    rep = sorted(least.values())
+    alike = lambda a, b: len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]})
+    monkeypatch.setattr(dedup, "MET", 3)
+    for t in (0.5, 0.75, 0.9):
+        want = {(a, b) for a in rep for b in rep if a < b and alike(a, b) >= t}
+        assert {(x.a, x.b) for x in dedup.class_pairs(signs, t)[0].collect()} == want
+    assert len(dedup.late_items(signs, 0.5)) > 5
+    # two items that all share, first in the order, are no reason to weigh a pair: fifteen of the prefix have to be shared
+    long = spark.createDataFrame([(i, [0, 1, *range(1000 * i, 1000 * i + 298)]) for i in range(1, 9)], "id long, items array<bigint>")
+    first = dedup.prefixes(long, 0.9, spark.sparkContext.broadcast(np.zeros(0, np.int64)))
+    assert first.count() == 8 * (300 - 270 + 1) and first.groupBy("item").count().where("count > 1").count() == 2
+    assert dedup.candidates(first, first, 0.9).where("a < b").count() == 0
