@@ -3,9 +3,10 @@
 Batches come one after the other, and what an earlier one kept stays. A new text is
 dropped if a kept one is alike, so only kept texts are stored: their shingle sets
 (`sets`) and the rows of their prefixes (`prefix`), which a new batch joins with its own.
-A prefix needs one order of all shingles, the same in each batch: rare ones first by the
-counts of the first batch (`order`, shingles that occur twice there), all others before
-those, by hash. Any fixed order gives right results; this one keeps frequent shingles out.
+A prefix needs one order of all shingles, the same in each batch: by hash, but those that
+stand in many prefixes of the first batch (`late`) come last. Any fixed order gives right
+results; this one keeps frequent shingles out. Whole sets are dealt out only where they are
+weighed, or stored.
 
 What no kept text drops is settled within the batch by the same rule. Equal sets are one class from
 the start. Where each batch's ids come after the last one's, two batches give what one
@@ -15,10 +16,11 @@ counts it; the same batch again, before or after that, gives the same verdicts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.similarity import jaccard
 from granary.operators import dedup
 from granary.storage import Scratch
 
@@ -45,12 +47,6 @@ class Corpus:
         df.write.mode("overwrite").parquet(f"{self.base}/{name}/batch={batch}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}/batch={batch}")
 
-    def _prefixes(self, sets: DataFrame, order: DataFrame) -> DataFrame:
-        """(id, item, n): the first n - ceil(t n) + 1 shingles of each set."""
-        rows = sets.select("id", F.explode("items").alias("item"), F.size("items").alias("n")).join(order, "item", "left")
-        ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "item")))
-        return ranked.where(F.col("at") <= F.col("n") - F.ceil(self.threshold * F.col("n") - 1e-9) + 1).select("id", "item", "n")
-
     def add(self, docs: DataFrame, batch: int | None = None, key: str = "doc_id", text: str = "text", native: bool = False) -> DataFrame:
         """(id, kept) of a batch's texts, by the order of their ids; ids are distinct. What stays is part of the corpus from now on."""
         done = self.batches()
@@ -60,32 +56,32 @@ class Corpus:
         scratch = Scratch(self.spark, "batch")
         signs = scratch.save(dedup.signatures(docs, self.k, key, text, native), "signs")
         of = scratch.save(dedup.classes(signs), "classes")
-        reps = scratch.save(signs.join(of.where("id = rep").select("id"), "id", "left_semi"), "reps")
+        reps = of.where("id = rep").select("id")
         if batch == 0:
-            items = reps.select(F.explode("items").alias("item"))
-            order = self._put(items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "order", 0)
+            order = self._put(self.spark.createDataFrame(pa.table({"item": dedup.late_items(signs, self.threshold)})), "late", 0)
         else:
-            order = self.spark.read.parquet(f"{self.base}/order/batch=0")
-        prefix = scratch.save(self._prefixes(reps, order), "prefix")
+            order = self.spark.read.parquet(f"{self.base}/late/batch=0")
+        late = self.spark.sparkContext.broadcast(np.sort(np.asarray(order.select("item").toArrow().column(0), np.int64)))
+        prefix = scratch.save(dedup.prefixes(signs, self.threshold, late).join(reps, "id", "left_semi"), "prefix")
         known, rows = self._table("prefix", batch), self._table("sets", batch)
         left = reps
         if known is not None:
-            t = self.threshold
-            met = prefix.toDF("b", "item", "nb").join(known.toDF("a", "item", "na"), "item").where(F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9)
-            pairs = met.select("a", "b").distinct().join(rows.toDF("a", "ia"), "a").join(reps.toDF("b", "ib"), "b")
-            alike = jaccard(F.size(F.array_intersect("ia", "ib")), F.size("ia"), F.size("ib")) >= t
-            old = scratch.save(pairs.where(alike).select(F.col("b").alias("id")).distinct(), "old")
+            met = scratch.save(dedup.candidates(known.select("id", "item", "n"), prefix, self.threshold), "met")
+            alike = dedup.weighed(met, rows.select("id", "items"), signs).where(F.col("jaccard") >= self.threshold)
+            old = scratch.save(alike.select(F.col("b").alias("id")).distinct(), "old")
             left = scratch.save(reps.join(old, "id", "left_anti"), "left")
         # only what no earlier batch drops can keep or drop others
-        linked, _ = dedup.class_pairs(left, self.threshold)
+        open_ = prefix if known is None else prefix.join(left, "id", "left_semi")
+        near = scratch.save(dedup.candidates(open_, open_, self.threshold).where("a < b"), "near")
+        linked = dedup.weighed(near, signs, signs).where(F.col("jaccard") >= self.threshold)
         gone = scratch.save(dedup.first_independent(linked), "gone")
         kept = scratch.save(left.join(gone, "id", "left_anti"), "kept")
         empty = self._put(signs.where(F.size("items") == 0).agg(F.min("id").alias("id")).where("id IS NOT NULL"), "empty", batch)
         seen = self._table("empty", batch)
         first = empty if seen is None or seen.isEmpty() else empty.limit(0)
         good = kept.select("id").unionByName(first).withColumn("good", F.lit(True))
-        self._put(kept, "sets", batch)
-        self._put(prefix.join(kept.select("id"), "id", "left_semi").select("id", "item", "n"), "prefix", batch)
+        self._put(signs.join(kept, "id", "left_semi"), "sets", batch)
+        self._put(prefix.join(kept, "id", "left_semi").select("id", "item", "n"), "prefix", batch)
         verdict = self._put(signs.select("id").join(good, "id", "left").select("id", F.col("good").isNotNull().alias("kept")), "verdicts", batch)
         self._put(verdict.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.col("kept").cast("long")), F.lit(0)).alias("kept")).coalesce(1), "batches", batch)
         return verdict
