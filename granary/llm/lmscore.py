@@ -47,6 +47,8 @@ WORD_SHARE, LEAST_WORDS, MOST_WORDS = 16, 1 << 16, 1 << 19
 BUCKET_SHARE, LEAST_BUCKETS, MOST_BUCKETS = 8, 1 << 20, 1 << 22
 #: Buckets of a part of the table to which blocks of documents send their own; words of such a block, or one text.
 PART_BUCKETS, BLOCK_WORDS = 1 << 19, 1 << 19
+#: Parts that a table has at least, so that they spread evenly over the tasks, unless they have fewer than SMALL_PART buckets.
+LEAST_PARTS, SMALL_PART = 1 << 8, 1 << 16
 #: Leading bits of a count that the histogram of counts keeps.
 PRECISION = 8
 MASS = 20.0
@@ -107,6 +109,11 @@ def sized(tokens: int, share: int, least: int, most: int) -> int:
     return min(most, max(least, 1 << max(0, -(-tokens // share) - 1).bit_length()))
 
 
+def part_width(buckets: int, most: int) -> int:
+    """Buckets of a part. A task has the parts that hashing deals it: a few large ones may meet in one, many small ones do not."""
+    return min(buckets, most, max(SMALL_PART, buckets // LEAST_PARTS))
+
+
 def vocabulary(counts: DataFrame, size: int) -> DataFrame:
     """(word): those of (word, n) that occur most, size at most; told by a histogram of n, so no task sorts them.
 
@@ -319,11 +326,12 @@ def sums(asked: DataFrame, width: int) -> DataFrame:
     """(block, part, at, t, b) with the sums over all blocks for t and b, in 64 bits; at is left out."""
 
     def run(table: pa.Table) -> pa.Table:
-        sizes = [len(x) // 4 for x in table.column("at").to_pylist()]
-        at = _counts(table.column("at"))
-        total = [np.bincount(at, _counts(table.column(c)), width).astype(np.int64)[at] for c in ("t", "b")]
-        ends = np.cumsum([0, *sizes])
-        out = [pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()) for x in total]
+        total = np.zeros((2, width), np.int64)
+        rows = lambda *names: zip(*([np.frombuffer(x.as_buffer(), np.int32) for x in table.column(c)] for c in names))  # noqa: E731  views, no copies
+        for at, *times in rows("at", "t", "b"):
+            for s in (0, 1):
+                total[s][at] += times[s]  # a row's buckets are distinct
+        out = [pa.array([total[s][at].tobytes() for (at,) in rows("at")], pa.binary()) for s in (0, 1)]
         return pa.table([table.column("block"), table.column("part"), *out], names=["block", "part", "t", "b"])
 
     return asked.groupBy("part").applyInArrow(run, "block long, part int, t binary, b binary")
@@ -341,7 +349,7 @@ def score(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str
     rows = rows.select("text", F.coalesce("_t", F.lit(False)).alias("target"), "doc_id")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     vocab, buckets = shape(rows, scratch, most_words)
-    n, width = len(vocab), min(buckets, most_buckets)
+    n, width = len(vocab), part_width(buckets, most_buckets)
     made = scratch.save(blocks(rows, context.broadcast(Frame(vocab, buckets, width)), id_type), "blocks")
     cells = scratch.save(made.where("part = -2").groupBy("cell").agg(F.sum("n_t").alias("t"), F.sum("n_b").alias("b")), "cells")
     sent = context.broadcast(Frame(vocab, buckets, width, _dense(cells, 0, n + 1), _dense(cells, n + 1, n + 2)))

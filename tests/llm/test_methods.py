@@ -412,6 +412,21 @@ def test_scores_over_several_blocks_are_those_of_one(spark, documents, prose):
     assert by(docs.coalesce(1)) == by(docs.repartition(7)) and len(by(docs)) == 33
 
 
+def test_parts_of_the_table_are_many_and_small(spark, documents, prose, monkeypatch):
+    """Few large parts meet in one task by chance; its columns of packed counts then fill the memory of an executor."""
+    seen, save = {}, Scratch.save
+
+    def spy(self, df, name, *more):
+        seen[name] = save(self, df, name, *more)
+        return seen[name]
+
+    monkeypatch.setattr(Scratch, "save", spy)
+    docs = documents([(i, prose(i, 200)) for i in range(40)])
+    assert lmscore.score(docs, spark.createDataFrame([(1,)], "doc_id long")).count() == 40
+    assert seen["sums"].agg(F.max("part")).first()[0] == 15
+    assert [lmscore.part_width(1 << n, lmscore.PART_BUCKETS) for n in (10, 20, 24, 25, 30)] == [1 << n for n in (10, 16, 16, 17, 19)]
+
+
 def test_models_grow_with_the_corpus(spark):
     assert [lmscore.sized(n, 8, 16, 1024) for n in (0, 100, 129, 1000, 10**9)] == [16, 16, 32, 128, 1024]
     counts = spark.createDataFrame([(i, n) for i, n in enumerate([9, 9, 5, 5, 5, 1000, 1001, 1])], "word long, n long")
