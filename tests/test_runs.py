@@ -198,3 +198,28 @@ def test_exact_vector_pairs_deal_each_vector_a_fixed_number_of_times(spark, monk
     monkeypatch.setattr(dedup, "PRODUCT", 100)
     got = [(r.a, r.b) for r in dedup.semantic_pairs(rows, 0.6, 0.7, group="label", exact=True, block=5).collect()]
     assert names == [3] and len(got) == len(want) and set(got) == want
+
+
+def test_pairs_of_equal_vectors(spark, tmp_path):
+    from granary.plans.registry import CROSS, SAME, q_semantic_pairs
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((30, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.concatenate([x, x[:10], x[:10]])
+    label = [i % 3 or None for i in range(50)]
+    rows = [(i, v.tolist(), g) for i, (v, g) in enumerate(zip(x, label))] + [(50, None, 1), (None, x[0].tolist(), 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = {(i, j) for i in range(50) for j in range(i + 1, 50) if x[i] @ x[j] >= (SAME if label[i] == label[j] else CROSS)}
+    got = [(r.a, r.b) for r in q_semantic_pairs(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_no_pair_is_left_out_by_default(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((400, 48))
+    x = np.repeat(base, 3, axis=0) + 0.3 * rng.standard_normal((1200, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.85, 1)))}
+    assert {(r.a, r.b) for r in dedup.semantic_pairs(rows, 0.85, 0.85).collect()} == want
